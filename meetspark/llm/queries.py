@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from meetspark.llm import encoding, lookalike, nearest, splitting
+from meetspark.llm import encoding, leak, lookalike, nearest, splitting, turns
 from meetspark.runtime import table
 
 QUERIES = {
     "p1_found": lambda s, d: splitting.p1_found(table(s, d, "general_meetings"), table(s, d, "chunk_limits")),
     "p1_pieces": lambda s, d: splitting.p1_pieces(table(s, d, "general_meetings"), table(s, d, "chunk_limits")),
     "p5_found": lambda s, d: nearest.p5_found(table(s, d, "speaker_segments"), table(s, d, "diarization")),
+    "p6_found": lambda s, d: turns.p6_found(table(s, d, "general_meetings"), table(s, d, "specific_queries"), table(s, d, "speaker_roster")),
+    "p6_turns": lambda s, d: turns.p6_turns(table(s, d, "general_meetings"), table(s, d, "specific_queries"), table(s, d, "speaker_roster")),
     "p7_ids": lambda s, d: encoding.p7_ids(table(s, d, "documents")),
     "p7_roundtrip": lambda s, d: encoding.p7_roundtrip(table(s, d, "documents")),
+    "p8_found": lambda s, d: leak.p8_found(table(s, d, "documents"), table(s, d, "eval_passages")),
+    "p8_leaked": lambda s, d: leak.p8_leaked(table(s, d, "documents"), table(s, d, "eval_passages")),
     "p9_found": lambda s, d: lookalike.p9_found(table(s, d, "documents")),
     "p9_canonical": lambda s, d: lookalike.p9_canonical(table(s, d, "documents")),
 }
