@@ -54,7 +54,8 @@ def split_words(documents: DataFrame) -> DataFrame:
     text_key tells texts apart that share a doc_id.
     """
     texts = documents.select("doc_id", "text").where(F.length("text") > 0)
-    return texts.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("pos", "word"))
+    parted = texts.select("doc_id", F.xxhash64("text").alias("text_key"), F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
+    return parted.select("doc_id", "text_key", F.posexplode("words").alias("pos", "word"))  # without the text itself
 
 
 def word_table(words: DataFrame, path: str) -> DataFrame:

@@ -16,18 +16,19 @@ SOUNDS = (
 )
 #: Hesitation and backchannel sounds, without punctuation. Fixed values.
 HESITATIONS = "u+h+m*|u+m+|e+r+m*|e+h+m*|a+h+m*|h+m+|m+h+m+|m{2,}|m+-h+m+|u+h+-(?:h+)?u+h+"
+#: Each alternative starts with one character or a place, so most characters are passed at once.
 NOISE = (
-    r"(?i)\(\([^()\n]{0,60}\)\)|\{[^{}\n]{0,60}\}|<[^<>\n]{0,60}>|\*[^*\s][^*\n]{0,40}\*"
-    r"|[\[(]\s*(?:" + TIME + r"|(?:" + SOUNDS + r")(?:\s+" + TIME + r")?)\s*[\])]"
-    r"|(?<=^|[\s\])}>*])(?:" + HESITATIONS + r")[.,!?;:…]*(?=$|[\s\[({<*])"
+    r"(?:\s|\G)(?i:" + HESITATIONS + r")[.,!?;:…]*(?=$|[\s\[({<*])"
+    r"|[\[(]\s*(?:" + TIME + r"|(?i:" + SOUNDS + r")(?:\s+" + TIME + r")?)\s*[\])]"
+    r"|<[^<>\n]{0,60}>|\{[^{}\n]{0,60}\}|\*[^*\s][^*\n]{0,40}\*|\(\([^()\n]{0,60}\)\)"
 )
-WORD = r"[^\s\p{L}\p{N}]*[\p{L}\p{N}]\S*"
+WORD = r"[A-Za-z0-9\p{L}\p{N}]\S*"
 UNKNOWN = ["unknown", "unknown speaker", "unidentified", "unidentified speaker", "speaker_unknown", "???", "??", "?"]
 _CAPTION = (
     r"(?m)^[ \t]*\d+[ \t]*\r?\n[ \t]*(\d{1,3}:\d{2}:\d{2})(?:[.,](\d{1,3}))?[ \t]*-->[^\n]*\r?\n"
 )
 #: A possible label has no bracket left open before its colon, as times and sounds inside speech have.
-_LINE = r"^\s*(?:" + MARK + r"\s*(?:-\s+)?)?((?:[^:\n<\[({]|\[[^\]:\n]*\]|\([^):\n]*\)){1,80}?)\s*:(?s)(.*)$"
+_LINE = r"^\s*(?:" + MARK + r"\s*(?:-\s+)?)?((?:[^:\n<\[({]++|\[[^\]:\n]*+\]|\([^):\n]*+\))++):(?s)(.*)$"
 _RECORD = ["record_kind", "record_key", "text_key"]
 
 
@@ -58,12 +59,15 @@ def lines(records: DataFrame) -> DataFrame:
         ~F.rtrim(text).contains("\n"),
         F.regexp_replace(F.regexp_replace(text, r"(?i)\s+(?=(?:" + MARK + r"\s*)?SPEAKER_\d+\s*:)", "\n"), r"^(\s*" + MARK + r"\s*(?:-\s*)?)\n", "$1 "),
     ).otherwise(text)
-    given = records.where(F.length("text") > 0).select(
-        "record_kind", "record_key", "meeting_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line")
+    # the text itself isn't carried to its lines
+    parted = records.where(F.length("text") > 0).select(
+        "record_kind", "record_key", "meeting_id", F.xxhash64("text").alias("text_key"), F.split(text, "\n").alias("parts")
     )
+    given = parted.select(*_RECORD, "meeting_id", F.posexplode("parts").alias("pos", "line"))
     line = F.col("line")
     mark = F.regexp_extract(line, r"^\s*(" + MARK + ")", 1)
-    stripped = given.withColumn("mark", F.regexp_replace(mark, r"[\[\](<>)\s]", "")).withColumn("label", F.regexp_extract(line, _LINE, 1))
+    label = F.regexp_extract(line, _LINE, 1)
+    stripped = given.withColumn("mark", F.regexp_replace(mark, r"[\[\](<>)\s]", "")).withColumn("label", F.when(F.length(label) <= 80, label).otherwise(""))
     behind = F.when(F.col("label") != "", F.regexp_extract(line, _LINE, 2)).otherwise(F.regexp_replace(line, r"^\s*" + MARK, ""))
     return stripped.select(
         *_RECORD, "meeting_id", "pos",
