@@ -10,8 +10,8 @@ from functools import cache
 PAIRS = (
     "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY ԌG аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw үy ӏl ԚQ ԜW "
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv αa ιi ρp υu γy ϲc ϳj ϹC ͿJ "
-    "օo ոn սu հh ցg ՏS ՕO Սr ᎪA ᏴB ᏟC ᎬE ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ"
-).replace("Սr ", "")
+    "օo ոn սu հh ցg ՏS ՕO ᎪA ᏴB ᏟC ᎬE ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ"
+)
 #: Letters whose capital form looks Latin, for comparisons that ignore case. Fixed values.
 CASELESS = "вb кk мm нh тt βb εe ζz ηh κk μm τt χx ιi"
 #: Characters without width besides those of category Cf. Fixed values.
