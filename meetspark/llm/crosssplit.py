@@ -16,8 +16,9 @@ from meetspark.runtime import written
 
 #: Least share of the longer transcript's words that stand in the same order in the other.
 SHARE_OF_LONGER = (4, 5)
-#: Least cosine of the weighted term vectors of a pair.
-COSINE = 0.7
+#: Least cosine of the weighted term vectors of a pair. Pairs with four fifths of the
+#: words in common have 0.9 or more in the data at hand; unrelated ones 0.1 or less.
+COSINE = 0.6
 #: Vectors are compared by their rarest terms until what is left has this norm at most.
 HEAD = 0.4
 #: Terms are counted in so many buckets, which bounds every table sent to executors.

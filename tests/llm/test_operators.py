@@ -86,7 +86,7 @@ def test_p1_very_long_text():
 
 # 3 --------------------------------------------------------------------------
 def _talk(rng, n):
-    return [" ".join(rng.choice(["Zorvak", "Plimdor", "Quessar", "Trellin", "Maskobar", "we", "the", "plan", "agreed", "budget", f"Nem{rng.randrange(400)}"]) for _ in range(9)) for _ in range(n)]
+    return [" ".join(rng.choice(["Zorvak", "Plimdor", "Quessar", "Trellin", "Maskobar", "we", "the", "plan", "agreed", *[f"Nem{rng.randrange(900)}" for _ in range(4)]]) for _ in range(9)) for _ in range(n)]
 
 
 def _layouts(lines):
