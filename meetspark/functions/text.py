@@ -37,7 +37,8 @@ def clean_text(value: Column) -> Column:
 def clip(value: Column, default: float = 0.0) -> Column:
     """Cast to a number in [0, 1]; ``default`` where the cast fails."""
     number = value.try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), F.lit(default))
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))
+    return F.when(number.isNotNull(), inside).otherwise(F.lit(default))
 
 
 def seconds(clock: Column) -> Column:

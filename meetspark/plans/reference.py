@@ -197,7 +197,7 @@ def estimated_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@_query("fn_clip", "SELECT segment_id, avg(greatest(0.0, least(1.0, no_speech_prob))) AS p, avg(greatest(0.0, least(1.0, avg_logprob))) AS q FROM speaker_segments GROUP BY segment_id")
+@_query("fn_clip", "SELECT segment_id, avg(CASE WHEN no_speech_prob IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, no_speech_prob)) END) AS p, avg(CASE WHEN avg_logprob IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, avg_logprob)) END) AS q FROM speaker_segments GROUP BY segment_id")
 def clip(spark, d):
     rows = table(spark, d, "speaker_segments").groupBy("segment_id")
     return rows.agg(F.avg(T.clip(F.col("no_speech_prob").cast("string"))).alias("p"), F.avg(T.clip(F.col("avg_logprob").cast("string"))).alias("q"))
@@ -593,3 +593,91 @@ def apply_reviews(spark, d):
     late = s.where("item_id % 5 = 0").select("item_id", status.alias("status"), F.concat("text", F.lit(" (edited)")).alias("text"), (F.col("item_id") % 60).cast("double").alias("seconds"), F.lit(2).alias("at"))
     early = late.withColumn("at", F.lit(1)).withColumn("status", F.lit("edited"))
     return corpora.apply_reviews(s, late.unionByName(early)).select(F.col("item_id").alias("event_id"), "review_status", "shown_text", "verification_seconds")
+
+
+@_query("win_digests")
+def digests(spark, d):
+    from meetspark.operators.digest import digests as build
+
+    found = build(segments(spark, d))
+    return found.select("meeting_id", "window", "n_selected", F.array_join("ids", ",").alias("ids"), F.length("text").alias("n_chars"))
+
+
+@_query("join_merge_passes")
+def merge_passes(spark, d):
+    from meetspark.operators.greedy import merge_passes as merge
+
+    s = segments(spark, d)
+    base = s.where("idx % 3 <> 1")
+    late = s.where("idx % 3 = 1").withColumns({"start_s": F.col("start_s") + 2.0, "end_s": F.col("end_s") + 2.0})
+    return merge(base, asr.recovery_candidates(base, late)).select("meeting_id", "text", "start_s", "origin")
+
+
+@_query("join_fuzzy_reconcile")
+def fuzzy_reconcile(spark, d):
+    from meetspark.operators.greedy import fuzzy_reconcile as match
+
+    s = segments(spark, d).select("meeting_id", "idx", "speaker", "text", "start_s", "end_s")
+    parsed = s.where("idx < 12").withColumns({"start_s": F.lit(None).cast("double"), "end_s": F.lit(None).cast("double"), "speaker": F.when(F.col("idx") % 2 == 0, F.col("speaker"))})
+    return match(parsed, s.where("idx BETWEEN 3 AND 16"))
+
+
+@_query("join_extraction_metrics")
+def extraction_metrics(spark, d):
+    from meetspark.operators.greedy import extraction_metrics as score
+
+    q = table(spark, d, "specific_queries").select("meeting_id", "example_id", "answer").distinct()
+    p = table(spark, d, "predictions").select("example_id", "prediction").distinct().join(q, "example_id")
+    gold = q.groupBy("meeting_id").agg(F.array_sort(F.collect_set("answer")).alias("gold"))
+    told = p.groupBy("meeting_id").agg(F.array_sort(F.collect_set("prediction")).alias("predicted"))
+    lists = gold.join(told, "meeting_id", "left")
+    return score(lists, "meeting_id", fuzzy=True)
+
+
+@_query("set_deduplicate_actions")
+def deduplicate_actions(spark, d):
+    from meetspark.operators.greedy import deduplicate_actions as dedup
+
+    confirmed, suggested = cues.action_status(F.col("text"))
+    s = segments(spark, d).withColumns({"c": confirmed, "s": suggested}).where("c OR s")
+    acts = s.select("meeting_id", "idx", F.col("text").alias("task"), F.col("speaker").alias("owner"), F.lit(None).cast("string").alias("deadline"), F.when(F.col("c"), "confirmed").otherwise("suggested").alias("commitment_status"), F.array("seg_id").alias("ids"))
+    return dedup(acts).select("meeting_id", "idx", "task", "owner", "commitment_status", F.array_join("ids", ",").alias("ids"))
+
+
+def _outputs(spark, d) -> DataFrame:
+    """Model output made of cue-bearing segments: mixed strings and objects."""
+    s = cues.with_cues(segments(spark, d), ["decision", "risk", "question", "purpose"]).withColumn("window", F.col("idx") % 3)
+    item = F.when(F.col("idx") % 2 == 0, F.to_json(F.struct(F.col("text"), F.array("seg_id").alias("evidence_segment_ids"), F.lit(0.9).alias("confidence")))).otherwise(F.concat(F.lit('"'), "text", F.lit('"')))
+    lists = [F.concat(F.lit(f'"{name}":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(f"cue_{cue}"), F.struct("idx", item.alias("item"))))), lambda x: x["item"]), ","), F.lit("]")) for name, cue in (("decisions", "decision"), ("risks", "risk"), ("open_questions", "question"), ("topics", "purpose"))]
+    return s.groupBy("meeting_id", "window").agg(F.concat(F.lit("{"), F.concat_ws(",", *lists), F.lit("}")).alias("output"))
+
+
+_INGEST = ", c AS (" + " UNION ALL ".join(
+    f"SELECT meeting_id, idx % 3 AS w, idx, text, '{f}' AS field FROM seg WHERE {_sql(cues.PATTERNS[c])}" for f, c in (("decisions", "decision"), ("risks", "risk"), ("open_questions", "question"), ("topics", "purpose"))
+) + ") "
+
+
+@_query("claims_ingest", _INGEST + "SELECT meeting_id, field, CAST(w AS INT) AS w, text, CASE WHEN idx % 2 = 0 THEN 0.9 ELSE 0.6 END AS confidence FROM c")
+def claims_ingest(spark, d):
+    from meetspark.operators.claims import ingest
+
+    return ingest(_outputs(spark, d)).select("meeting_id", "field", F.col("window").cast("int").alias("w"), "text", "confidence")
+
+
+@_query("claims_merge_windows", _INGEST + "SELECT meeting_id, field, lower(text) AS key, count(*) OVER (PARTITION BY meeting_id, field) AS n FROM (SELECT DISTINCT meeting_id, field, lower(text) AS text FROM c)")
+def claims_merge(spark, d):
+    from pyspark.sql import Window
+
+    from meetspark.operators.claims import ingest, merge_windows
+
+    merged = merge_windows(ingest(_outputs(spark, d)))
+    return merged.select("meeting_id", "field", F.lower("text").alias("key"), F.count("*").over(Window.partitionBy("meeting_id", "field")).alias("n"))
+
+
+@_query("sink_report")
+def report(spark, d):
+    from meetspark.operators.claims import ingest, merge_windows, sections
+
+    merged = merge_windows(ingest(_outputs(spark, d)))
+    summary = segments(spark, d).where("idx = 0").select("meeting_id", F.col("text").alias("summary"))
+    return sections(merged, summary).select("meeting_id", F.length("report").alias("n_chars"), F.md5("report").alias("digest"))
