@@ -626,12 +626,10 @@ def fuzzy_reconcile(spark, d):
 def extraction_metrics(spark, d):
     from meetspark.operators.greedy import extraction_metrics as score
 
-    q = table(spark, d, "specific_queries").select("meeting_id", "example_id", "answer").distinct()
-    p = table(spark, d, "predictions").select("example_id", "prediction").distinct().join(q, "example_id")
-    gold = q.groupBy("meeting_id").agg(F.array_sort(F.collect_set("answer")).alias("gold"))
-    told = p.groupBy("meeting_id").agg(F.array_sort(F.collect_set("prediction")).alias("predicted"))
-    lists = gold.join(told, "meeting_id", "left")
-    return score(lists, "meeting_id", fuzzy=True)
+    gold = table(spark, d, "specific_queries").groupBy("example_id").agg(F.array_sort(F.collect_set("answer")).alias("gold"))
+    told = table(spark, d, "predictions").groupBy("example_id").agg(F.array_sort(F.collect_set("prediction")).alias("predicted"))
+    lists = gold.join(told, "example_id", "left")
+    return score(lists, "example_id", fuzzy=True)
 
 
 @_query("set_deduplicate_actions")
