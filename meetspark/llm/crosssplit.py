@@ -20,7 +20,7 @@ SHARE_OF_LONGER = (4, 5)
 #: words in common have 0.9 or more in the data at hand; unrelated ones 0.1 or less.
 COSINE = 0.6
 #: Vectors are compared by their rarest terms until what is left has this norm at most.
-HEAD = 0.4
+HEAD = 0.5
 #: Terms are counted in so many buckets, which bounds every table sent to executors.
 BUCKETS = 1 << 18
 
@@ -226,14 +226,17 @@ def _pruned(pairs: DataFrame, weights, cosine: float) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            parts = [_arrays(batch, c) for c in ("a_terms", "a_values", "a_norms", "b_terms", "b_values", "b_norms")]
-            for ta, va, na, tb, vb, nb in zip(*parts):
+            parts = [_arrays(batch, c) for c in ("a_terms", "a_values", "b_terms", "b_values")]
+            rests = [batch.column(c).to_numpy() for c in ("a_rest", "b_rest")]
+            for ta, va, tb, vb, rest_a, rest_b in zip(*parts, *rests):
                 _, i, j = np.intersect1d(ta, tb, assume_unique=True, return_indices=True)
                 ra, rb = -weights.value[ta % BUCKETS], -weights.value[tb % BUCKETS]
                 last = min((ra[-1], ta[-1]), (rb[-1], tb[-1]))
                 ka = int(((ra < last[0]) | ((ra == last[0]) & (ta <= last[1]))).sum())
                 kb = int(((rb < last[0]) | ((rb == last[0]) & (tb <= last[1]))).sum())
-                keep.append(float((va[i] * vb[j]).sum()) + float(na[ka] * nb[kb]) >= cosine - 1e-4)
+                left_a = np.sqrt(rest_a**2 + (va[ka:] ** 2).sum())
+                left_b = np.sqrt(rest_b**2 + (vb[kb:] ** 2).sum())
+                keep.append(float((va[i] * vb[j]).sum() + left_a * left_b) >= cosine - 1e-4)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(scan, "a long, b long")
@@ -303,7 +306,8 @@ def similar_texts(words: DataFrame, cosine: float = COSINE) -> DataFrame:
     heads = written(_heads(unique, weights, top, cosine), "heads")
 
     def head(side: int, name: str) -> DataFrame:
-        return heads.where(F.col("side") == side).select(F.col("text_key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("terms", "values", "norms")])
+        rest = F.element_at("norms", -1)
+        return heads.where(F.col("side") == side).select(F.col("text_key").alias(name), F.col("terms").alias(f"{name}_terms"), F.col("values").alias(f"{name}_values"), rest.alias(f"{name}_rest"))
 
     met = _met(heads, cosine).join(head(0, "a"), "a").join(head(1, "b"), "b")
     pairs = written(_pruned(met, weights, cosine), "pairs")
