@@ -225,19 +225,32 @@ def _pruned(pairs: DataFrame, weights, cosine: float) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            parts = [_arrays(batch, c) for c in ("a_terms", "a_values", "b_terms", "b_values")]
-            rests = [batch.column(c).to_numpy() for c in ("a_rest", "b_rest")]
-            for ta, va, tb, vb, rest_a, rest_b in zip(*parts, *rests):
-                _, i, j = np.intersect1d(ta, tb, assume_unique=True, return_indices=True)
-                ra, rb = -weights.value[ta % BUCKETS], -weights.value[tb % BUCKETS]
-                last = min((ra[-1], ta[-1]), (rb[-1], tb[-1]))
-                ka = int(((ra < last[0]) | ((ra == last[0]) & (ta <= last[1]))).sum())
-                kb = int(((rb < last[0]) | ((rb == last[0]) & (tb <= last[1]))).sum())
-                left_a = np.sqrt(rest_a**2 + (va[ka:] ** 2).sum())
-                left_b = np.sqrt(rest_b**2 + (vb[kb:] ** 2).sum())
-                keep.append(float((va[i] * vb[j]).sum() + left_a * left_b) >= cosine - 1e-4)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            n = batch.num_rows
+            if not n:
+                continue
+
+            def side(name: str) -> tuple[np.ndarray, ...]:
+                terms, values = batch.column(f"{name}_terms"), batch.column(f"{name}_values")
+                ends = terms.offsets.to_numpy()
+                t, v = terms.flatten().to_numpy(), values.flatten().to_numpy().astype(np.float64)
+                pair = np.repeat(np.arange(n), np.diff(ends))
+                rarity = -weights.value[t % BUCKETS]
+                last = np.cumsum(np.diff(ends)) - 1  # heads are never empty
+                return t, v, pair, rarity, rarity[last], t[last], batch.column(f"{name}_rest").to_numpy().astype(np.float64)
+
+            a, b = side("a"), side("b")
+            first = (a[4] < b[4]) | ((a[4] == b[4]) & (a[5] <= b[5]))
+            end_rarity, end_term = np.where(first, a[4], b[4]), np.where(first, a[5], b[5])
+
+            def left(t, v, pair, rarity, _, __, rest) -> np.ndarray:
+                behind = (rarity > end_rarity[pair]) | ((rarity == end_rarity[pair]) & (t > end_term[pair]))
+                return np.sqrt(rest**2 + np.bincount(pair[behind], (v * v)[behind], n))
+
+            ka, kb = ((x[2].astype(np.int64) << 32) | (x[0].astype(np.int64) + 2**31) for x in (a, b))
+            _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+            exact = np.bincount(a[2][i], a[1][i] * b[1][j], n)
+            keep = exact + left(*a) * left(*b) >= cosine - 1e-4
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return pairs.mapInArrow(scan, "a long, b long")
 
