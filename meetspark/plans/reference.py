@@ -679,3 +679,92 @@ def report(spark, d):
     merged = merge_windows(ingest(_outputs(spark, d)))
     summary = segments(spark, d).where("idx = 0").select("meeting_id", F.col("text").alias("summary"))
     return sections(merged, summary).select("meeting_id", F.length("report").alias("n_chars"), F.md5("report").alias("digest"))
+
+
+def _field_claims(spark, d) -> DataFrame:
+    """Claims of every field: a segment's text, citing itself, a turn some way off, or nothing that exists."""
+    fields = ["topics", "key_points", "requirements", "decisions", "action_items", "risks", "open_questions"]
+    s = segments(spark, d).where("event_id % 5 = 0")
+    sid = lambda k: F.format_string("seg-%04d", F.col("idx") + k)
+    ids = F.when(F.col("event_id") % 4 == 0, F.array(sid(1))).when(F.col("event_id") % 4 == 1, F.array(sid(2), sid(1), sid(30))).when(F.col("event_id") % 4 == 2, F.array(sid(3))).otherwise(F.array(F.lit("seg-9999")))
+    return s.select(F.col("event_id").alias("claim_id"), "meeting_id", F.get(F.array(*map(F.lit, fields)), (F.col("idx") % 7).cast("int")).alias("field"), "text", F.lit("").alias("evidence"), ids.alias("ids"))
+
+
+@_query("claims_local_evidence")
+def claims_local_evidence(spark, d):
+    from meetspark.operators.grounding import local_evidence
+
+    return local_evidence(_field_claims(spark, d), segments(spark, d))
+
+
+@_query("claims_best_window")
+def claims_best_window(spark, d):
+    from meetspark.operators.grounding import best_window
+
+    return best_window(_field_claims(spark, d).where("field = 'topics'"), segments(spark, d)).select("claim_id", "idx", F.round("support", 4).alias("support"))
+
+
+@_query("claims_link")
+def claims_link(spark, d):
+    from meetspark.operators.grounding import link_claims
+
+    linked = link_claims(_field_claims(spark, d), segments(spark, d))
+    return linked.select("claim_id", "field", "status", F.array_join("ids", ",").alias("ids"), "cue_ok", "commitment", "repaired", "start_s", "end_s")
+
+
+@_query("claims_summary")
+def claims_summary(spark, d):
+    from meetspark.operators.grounding import action_owner, grounded_summary, link_claims
+
+    linked = link_claims(_field_claims(spark, d), segments(spark, d)).where("status = 'linked'")
+    owned = linked.withColumn("owner", F.when(F.col("field") == "action_items", action_owner(F.lit(None).cast("string"), F.col("evidence"), F.col("speakers")))).withColumn("score", F.col("support"))
+    return grounded_summary(owned)
+
+
+@_query("fn_extract_json", _INGEST + ", w AS (SELECT DISTINCT meeting_id, idx % 3 AS w FROM seg) SELECT w.meeting_id, CAST(w.w AS INT) AS w, count(c.idx) FILTER (WHERE c.field = 'risks') AS n_risks FROM w LEFT JOIN c ON c.meeting_id = w.meeting_id AND c.w = w.w GROUP BY 1, 2")
+def extract_json(spark, d):
+    from meetspark.functions.jsontext import extract_json as salvage
+
+    wrapped = F.when(F.col("window") == 0, F.col("output")).when(F.col("window") == 1, F.concat(F.lit("Here it is:\n```json\n"), "output", F.lit("\n```\nDone."))).otherwise(F.concat(F.lit("```json\n"), "output", F.lit("\n```")))
+    found = _outputs(spark, d).select("meeting_id", F.col("window").cast("int").alias("w"), salvage(wrapped).alias("json"))
+    return found.select("meeting_id", "w", F.size(F.from_json(F.get_json_object("json", "$.risks"), "array<string>")).cast("long").alias("n_risks"))
+
+
+_INTRO = cues.PATTERNS["introduction"].replace("'", "''")
+_ROLE = cues.PATTERNS["role"].replace("'", "''")
+
+
+@_query(
+    "claims_introductions",
+    f", i AS (SELECT *, regexp_extract(text, '{_INTRO}', 0, 'i') AS whole, regexp_extract(text, '{_INTRO}', 1, 'i') AS name FROM seg), r AS (SELECT *, regexp_extract(substr(text, strpos(text, whole) + length(whole)), '{_ROLE}', 1, 'i') AS role FROM i WHERE whole <> ''), "
+    f"k AS (SELECT meeting_id, speaker, arg_max(struct_pack(name := name, role := role, seg_id := seg_id), idx) AS l FROM r WHERE role <> '' AND name <> '' AND lower(name) NOT IN ({', '.join(repr(n) for n in cues.NOT_NAMES)}) GROUP BY 1, 2) "
+    "SELECT meeting_id, speaker, l.name AS name, lower(l.role) AS role, l.seg_id AS seg_id FROM k",
+)
+def introductions(spark, d):
+    from meetspark.operators.recover import introductions as found
+
+    return found(segments(spark, d)).withColumn("role", F.lower("role"))
+
+
+@_query("claims_structural_topics")
+def structural_topics(spark, d):
+    from meetspark.operators.recover import structural_topics as found
+
+    return found(segments(spark, d))
+
+
+@_query("fn_clean_action_task")
+def clean_action_task(spark, d):
+    from meetspark.operators.recover import clean_action_task as task
+
+    return segments(spark, d).select("meeting_id", "seg_id", task(F.col("text")).alias("task")).where("task <> ''")
+
+
+@_query(
+    "win_continuations",
+    " SELECT a.meeting_id, a.idx, b.idx AS next_idx FROM seg a JOIN seg b ON b.meeting_id = a.meeting_id AND b.speaker = a.speaker AND b.start_s <= a.end_s + 15 AND (b.idx = a.idx + 1 OR (b.idx = a.idx + 2 AND EXISTS (SELECT 1 FROM seg c WHERE c.meeting_id = a.meeting_id AND c.idx = a.idx + 1 AND c.speaker = a.speaker AND c.start_s <= a.end_s + 15)))",
+)
+def continuations(spark, d):
+    from meetspark.operators.recover import same_speaker_continuations
+
+    return same_speaker_continuations(segments(spark, d))
