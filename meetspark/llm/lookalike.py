@@ -50,8 +50,10 @@ def classes(documents: DataFrame) -> DataFrame:
     are left out; copies of one stored text share its row in step 2 and 3.
     """
     texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    forms = texts.withColumn("form", shown(F.col("text"))).where(F.regexp_like("form", F.lit(r"(?U)\S")))
-    keyed = forms.select("doc_id", _block(F.col("form")).alias("block"), F.xxhash64("text").alias("text_hash"))
+    forms = texts.where(F.length("text") > 0).select("doc_id", shown(F.col("text")).alias("form"), F.xxhash64("text").alias("text_hash"))
+    visible = F.regexp_like("form", F.lit(r"(?U)\S"))
+    # three numbers a document, kept because each form is costly to make
+    keyed = written(forms.select("doc_id", F.when(visible, _block(F.col("form"))).alias("block"), "text_hash"), "keyed").where("block IS NOT NULL")
     variants = keyed.groupBy("block", "text_hash").agg(F.min("doc_id").alias("doc_id"))
     blocks = variants.groupBy("block").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("block")
     picked = written(variants.join(blocks, "block", "left_semi"), "variants")
