@@ -51,11 +51,13 @@ def _encoding(data: bytes):
 def split_words(documents: DataFrame) -> DataFrame:
     """(doc_id, text_key, pos, word) of every word of every non-empty text.
 
-    text_key tells texts apart that share a doc_id.
+    text_key tells texts apart that share a doc_id. The split texts are kept in
+    the shared folder, as they are read three times and splitting costs more
+    than reading.
     """
     texts = documents.select("doc_id", "text").where(F.length("text") > 0)
     parted = texts.select("doc_id", F.xxhash64("text").alias("text_key"), F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
-    return parted.select("doc_id", "text_key", F.posexplode("words").alias("pos", "word"))  # without the text itself
+    return written(parted, "split").select("doc_id", "text_key", F.posexplode("words").alias("pos", "word"))
 
 
 def word_table(words: DataFrame, path: str) -> DataFrame:
