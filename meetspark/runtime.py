@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, wherever it was imported from."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        path = os.path.join(tempfile.mkdtemp(prefix="meetspark-"), "meetspark.zip")
+        with zipfile.PyZipFile(path, "w") as file:
+            file.writepy(os.path.dirname(os.path.abspath(__file__)))
+        context.addPyFile(path)
+        _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table ``name`` of the folder ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
