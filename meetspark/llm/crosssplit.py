@@ -1,7 +1,8 @@
-"""Same or nearly the same transcripts across splits (problem 3): weighted cosine join."""
+"""Same or nearly the same transcripts across splits (problem 3): all pairs bounded by their word counts, then their order."""
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -16,13 +17,10 @@ from meetspark.runtime import written
 
 #: Least share of the longer transcript's words that stand in the same order in the other.
 SHARE_OF_LONGER = (4, 5)
-#: Least cosine of the weighted term vectors of a pair. Pairs with four fifths of the
-#: words in common have 0.9 or more in the data at hand; unrelated ones 0.1 or less.
-COSINE = 0.6
-#: Vectors are compared by their rarest terms until what is left has this norm at most.
-HEAD = 0.5
-#: Terms are counted in so many buckets, which bounds every table sent to executors.
-BUCKETS = 1 << 18
+#: Words are counted in so many buckets when whole texts are compared.
+BUCKETS = 1 << 12
+#: Words of one side that one task holds at a time, and texts it compares at a time. They bound memory only.
+CHUNK_WORDS, BLOCK = 4_000_000, 1024
 
 # Each pattern starts with a literal or a set of characters, which lets the search skip ahead.
 _NOISE = re.compile(
@@ -100,161 +98,6 @@ def _arrays(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def _weights(words: DataFrame) -> np.ndarray:
-    """Weight of each term bucket: logarithm of texts by texts that hold it, over all texts."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = np.zeros(BUCKETS + 1, dtype=np.int64), 0
-        for batch in batches:
-            for own in _arrays(batch, "words"):
-                held[np.unique(np.unique(own) % BUCKETS)] += 1
-                total += 1
-        held[BUCKETS] = total
-        bucket = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(held[bucket])], names=["bucket", "n"])
-
-    found = words.select("words").mapInArrow(scan, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    table = found.toPandas()  # BUCKETS + 1 rows at most
-    held = np.ones(BUCKETS + 1)
-    held[table["bucket"].to_numpy(np.int64)] = table["n"].to_numpy()
-    return np.log1p(held[BUCKETS] / held[:BUCKETS]).astype(np.float32)
-
-
-def vector(words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and unit-length values, rarest terms first.
-
-    A value is the root of the term's count times its squared weight, so rare
-    terms decide and the vectors of unrelated texts are nearly orthogonal.
-    """
-    terms, counts = np.unique(words, return_counts=True)
-    rarity = weights[terms % BUCKETS]
-    order = np.lexsort((terms, -rarity))
-    values = (np.sqrt(counts) * rarity * rarity)[order]
-    return terms[order], values / np.sqrt((values * values).sum())
-
-
-def _norms(values: np.ndarray) -> np.ndarray:
-    """Norm of what is left from each place on, and 0 at the end."""
-    return np.append(np.sqrt(np.cumsum((values * values)[::-1])[::-1]), 0.0)
-
-
-def _largest(words: DataFrame, weights) -> np.ndarray:
-    """The largest value of each term bucket in the vectors of each side."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = np.zeros((2, BUCKETS), dtype=np.float32)
-        for batch in batches:
-            for side, own in zip(batch.column("side").to_pylist(), _arrays(batch, "words")):
-                terms, values = vector(own, weights.value)
-                np.maximum.at(top[side], terms % BUCKETS, values)
-        side, bucket = np.nonzero(top)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(side.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(top[side, bucket])], names=["side", "bucket", "top"]
-        )
-
-    found = words.select("side", "words").mapInArrow(scan, "side int, bucket int, top float").groupBy("side", "bucket").agg(F.max("top").alias("top"))
-    table = found.toPandas()  # 2 * BUCKETS rows at most
-    top = np.zeros((2, BUCKETS), dtype=np.float32)
-    top[table["side"].to_numpy(np.int64), table["bucket"].to_numpy(np.int64)] = table["top"].to_numpy()
-    return top
-
-
-def _heads(words: DataFrame, weights, top, cosine: float) -> DataFrame:
-    """(side, text_key, size, indexed, terms, values, norms) of each vector's rarest terms.
-
-    The first ``indexed`` terms must be indexed: what is left behind them can't
-    reach ``cosine`` with any vector of the other side, neither by its norm nor
-    by the largest values there. The head goes on until what is left has the
-    norm HEAD. norms[i] is the norm from place i on; its last entry is what is
-    left behind the head.
-    """
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, indexed, ts, vs, ns = [], [], [], [], []
-            for side, own in zip(batch.column("side").to_pylist(), _arrays(batch, "words")):
-                terms, values = vector(own, weights.value)
-                norms = _norms(values)
-                most = np.append(np.cumsum((values * top.value[1 - side][terms % BUCKETS])[::-1])[::-1], 0.0)
-                k = int(np.argmax(np.minimum(norms, most) < cosine))
-                head = max(k, int(np.argmax(norms <= HEAD)))
-                indexed.append(k)
-                sizes.append(int(np.floor(np.log(len(own)) / np.log(SHARE_OF_LONGER[1] / SHARE_OF_LONGER[0]) + 1e-9)))
-                ts.append(terms[:head])
-                vs.append(values[:head].astype(np.float32))
-                ns.append(norms[: head + 1].astype(np.float32))
-
-            def listed(parts: list[np.ndarray], kind: type) -> pa.ListArray:
-                ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.empty(0, kind)])))
-
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("side"), batch.column("text_key"), pa.array(sizes, pa.int32()), pa.array(indexed, pa.int32()), listed(ts, np.int32), listed(vs, np.float32), listed(ns, np.float32)],
-                names=["side", "text_key", "size", "indexed", "terms", "values", "norms"],
-            )
-
-    schema = "side int, text_key long, size int, indexed int, terms array<int>, values array<float>, norms array<float>"
-    return words.select("side", "text_key", "words").mapInArrow(scan, schema)
-
-
-def _met(heads: DataFrame, cosine: float) -> DataFrame:
-    """(a, b): texts of both sides that meet in an indexed term and may reach ``cosine``.
-
-    The first term that both vectors hold stands in both indexes. Nothing before
-    it is common, so the dot product is at most the product of the norms from
-    there on. Sizes more than one step of the length ratio apart never meet.
-    """
-    place = F.posexplode(F.slice("terms", F.lit(1), F.col("indexed"))).alias("at", "term")
-    spread = heads.where("indexed > 0").select("side", "text_key", "size", "norms", place)
-    postings = spread.select("side", "text_key", "size", "term", F.get("norms", F.col("at")).alias("norm"))
-    left = postings.where("side = 0").select("term", "size", F.col("text_key").alias("a"), F.col("norm").alias("norm_a"))
-    right = postings.where("side = 1").select(
-        "term", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"),
-        F.col("text_key").alias("b"), F.col("norm").alias("norm_b"),
-    )
-    met = left.join(right, ["term", "size"]).where((F.col("a") != F.col("b")) & (F.col("norm_a") * F.col("norm_b") >= cosine - 1e-5))
-    return met.select("a", "b").distinct()
-
-
-def _pruned(pairs: DataFrame, weights, cosine: float) -> DataFrame:
-    """The pairs whose heads leave it possible that the dot product reaches ``cosine``.
-
-    Up to the end of the head that ends first, the product is exact; behind it,
-    it is at most the product of both norms that are left there.
-    """
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-
-            def side(name: str) -> tuple[np.ndarray, ...]:
-                terms, values = batch.column(f"{name}_terms"), batch.column(f"{name}_values")
-                ends = terms.offsets.to_numpy()
-                t, v = terms.flatten().to_numpy(), values.flatten().to_numpy().astype(np.float64)
-                pair = np.repeat(np.arange(n), np.diff(ends))
-                rarity = -weights.value[t % BUCKETS]
-                last = np.cumsum(np.diff(ends)) - 1  # heads are never empty
-                return t, v, pair, rarity, rarity[last], t[last], batch.column(f"{name}_rest").to_numpy().astype(np.float64)
-
-            a, b = side("a"), side("b")
-            first = (a[4] < b[4]) | ((a[4] == b[4]) & (a[5] <= b[5]))
-            end_rarity, end_term = np.where(first, a[4], b[4]), np.where(first, a[5], b[5])
-
-            def left(t, v, pair, rarity, _, __, rest) -> np.ndarray:
-                behind = (rarity > end_rarity[pair]) | ((rarity == end_rarity[pair]) & (t > end_term[pair]))
-                return np.sqrt(rest**2 + np.bincount(pair[behind], (v * v)[behind], n))
-
-            ka, kb = ((x[2].astype(np.int64) << 32) | (x[0].astype(np.int64) + 2**31) for x in (a, b))
-            _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-            exact = np.bincount(a[2][i], a[1][i] * b[1][j], n)
-            keep = exact + left(*a) * left(*b) >= cosine - 1e-4
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
-
-    return pairs.mapInArrow(scan, "a long, b long")
-
-
 def common_in_order(a: np.ndarray, b: np.ndarray, least: int) -> int:
     """Length of the longest common subsequence, or 0 if it can't reach ``least``."""
     n = min(len(a), len(b))
@@ -283,78 +126,101 @@ def common_in_order(a: np.ndarray, b: np.ndarray, least: int) -> int:
     return total if total >= least else 0
 
 
-def _confirmed(pairs: DataFrame, weights, cosine: float) -> DataFrame:
-    """Exact dot product and word order of each candidate pair."""
+def _least(n: np.ndarray | int) -> np.ndarray | int:
+    """Words that must stand in the same order, if the longer text has n."""
+    return -(-SHARE_OF_LONGER[0] * n // SHARE_OF_LONGER[1])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up, down = SHARE_OF_LONGER
-        for batch in batches:
-            keep = []
-            for a, b in zip(_arrays(batch, "a_words"), _arrays(batch, "b_words")):
-                (ta, va), (tb, vb) = vector(a, weights.value), vector(b, weights.value)
-                _, i, j = np.intersect1d(ta, tb, assume_unique=True, return_indices=True)
-                dot = float((va[i] * vb[j]).sum())  # exact
-                least = -(-up * max(len(a), len(b)) // down)
-                keep.append(dot >= cosine - 1e-6 and common_in_order(a, b, least) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(scan, "a long, b long")
+def _counts(texts: list[np.ndarray]) -> np.ndarray:
+    return np.array([np.bincount(w % BUCKETS, minlength=BUCKETS) for w in texts], dtype=np.int32)
+
 
+def _compared(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(a, b) of the pairs of two chunks that have enough words in the same order.
 
-def similar_texts(words: DataFrame, cosine: float = COSINE) -> DataFrame:
+    Every pair is bounded by its word counts, never by what the words are: the
+    common words are at most the sum of the smaller counts, which is at most the
+    dot product of the counts' roots. Buckets only raise both.
+    """
+
+    def by_length(table: pa.Table, side: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        own = [w for batch in table.to_batches() for w in _arrays(batch, f"words_{side}")]
+        n = np.array([len(w) for w in own], dtype=np.int64)
+        order = np.argsort(n, kind="stable")
+        return [own[k] for k in order], n[order], table.column(f"text_key_{side}").to_numpy()[order]
+
+    found: list[tuple[int, int]] = []
+    (ta, na, ka), (tb, nb, kb) = by_length(left, 0), by_length(right, 1)
+    for i in range(0, len(ta), BLOCK):
+        ca, la = None, na[i : i + BLOCK]
+        for j in range(0, len(tb), BLOCK):
+            lb = nb[j : j + BLOCK]
+            if la[-1] < _least(lb[0]) or lb[-1] < _least(la[0]):
+                continue
+            if ca is None:
+                ca = _counts(ta[i : i + BLOCK])
+                ra = np.sqrt(ca, dtype=np.float32)
+            cb = _counts(tb[j : j + BLOCK])
+            least = _least(np.maximum.outer(la, lb))
+            met = (ra @ np.sqrt(cb, dtype=np.float32).T >= least * (1 - 1e-4)) & (np.minimum.outer(la, lb) >= least)
+            for x, y in zip(*np.nonzero(met)):
+                if np.minimum(ca[x], cb[y]).sum() >= least[x, y] and common_in_order(ta[i + x], tb[j + y], int(least[x, y])):
+                    found.append((ka[i + x], kb[j + y]))
+    a, b = zip(*found) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def similar_texts(words: DataFrame) -> DataFrame:
     """(a, b): text keys of a train text and of a held-out text that are the same or nearly so.
 
-    Copies of one word sequence on one side take part once.
+    Copies of one word sequence on one side take part once. All pairs whose
+    lengths allow it are compared, chunk by chunk.
     """
-    sided = words.withColumn("side", _side())
+    step = math.log(SHARE_OF_LONGER[1] / SHARE_OF_LONGER[0])
+    sided = words.withColumn("side", _side()).withColumn("size", F.floor(F.log("n") / step + 1e-9).cast("int"))
     copies = sided.groupBy("text_key", "side").agg(F.min("record_id").alias("record_id"), F.count("*").alias("n")).where("n > 1")
     more = sided.select("record_id", "text_key", "side").join(
         copies.select("text_key", "side", F.col("record_id").alias("first")), ["text_key", "side"]
     ).where(F.col("record_id") != F.col("first"))
     extra = written(more.select("record_id"), "copies")
     unique = sided.join(extra, "record_id", "left_anti")
-    context = words.sparkSession.sparkContext
-    weights = context.broadcast(_weights(words))
-    top = context.broadcast(_largest(unique, weights))
-    heads = written(_heads(unique, weights, top, cosine), "heads")
-
-    def head(side: int, name: str) -> DataFrame:
-        rest = F.element_at("norms", -1)
-        return heads.where(F.col("side") == side).select(F.col("text_key").alias(name), F.col("terms").alias(f"{name}_terms"), F.col("values").alias(f"{name}_values"), rest.alias(f"{name}_rest"))
-
-    met = _met(heads, cosine).join(head(0, "a"), "a").join(head(1, "b"), "b")
-    pairs = written(_pruned(met, weights, cosine), "pairs")
-    needed = written(pairs.select(F.col("a").alias("text_key")).union(pairs.select(F.col("b").alias("text_key"))).distinct(), "needed")
-    texts = unique.join(needed, "text_key", "left_semi").select("text_key", "words").dropDuplicates(["text_key"])
-    both = pairs.join(texts.select(F.col("text_key").alias("a"), F.col("words").alias("a_words")), "a").join(
-        texts.select(F.col("text_key").alias("b"), F.col("words").alias("b_words")), "b"
-    )
-    near = _confirmed(both, weights, cosine)
-    keys = sided.select("text_key", "side").distinct()
-    same = keys.where("side = 0").select(F.col("text_key").alias("a")).join(keys.where("side = 1").select(F.col("text_key").alias("b")), F.col("a") == F.col("b"))
-    return near.unionAll(same)
+    # a row per side and step of length
+    sums = sided.groupBy("side", "size").agg(F.sum("n").alias("n")).collect()
+    parts = {(r["side"], r["size"]): -(-r["n"] // CHUNK_WORDS) for r in sums}
+    # texts whose lengths allow a case are at most one step apart
+    cells = [(c, i, d, j) for (side, c), n in parts.items() if side == 0 for d in (c - 1, c, c + 1) for i in range(n) for j in range(parts.get((1, d), 0))]
+    spark = words.sparkSession
+    named = spark.createDataFrame([(k, *x) for k, x in enumerate(cells)], "cell int, size_0 int, chunk_0 int, size_1 int, chunk_1 int")
+    counted = spark.createDataFrame([(*k, n) for k, n in parts.items()], "side int, size int, parts int")
+    spread = unique.join(F.broadcast(counted), ["side", "size"]).withColumn("chunk", F.pmod(F.xxhash64("text_key"), "parts").cast("int"))
+
+    def chunks(side: int):
+        own = named.select("cell", F.col(f"size_{side}").alias("size"), F.col(f"chunk_{side}").alias("chunk"))
+        return spread.where(F.col("side") == side).join(F.broadcast(own), ["size", "chunk"]).select(*[F.col(c).alias(f"{c}_{side}") for c in ("cell", "text_key", "words")]).groupBy(f"cell_{side}")
+
+    return chunks(0).cogroup(chunks(1)).applyInArrow(_compared, "a long, b long").distinct()
 
 
-def p3_found(meetings: DataFrame, cosine: float = COSINE) -> DataFrame:
+def p3_found(meetings: DataFrame) -> DataFrame:
     """(record_id_a, record_id_b): every pair of a train and a held-out record with the same or nearly the same transcript.
 
     Null ids, splits and transcripts and transcripts without words take no part.
     """
     words = word_sequences(meetings)
-    pairs = written(similar_texts(words, cosine), "similar")
+    pairs = written(similar_texts(words), "similar")
     left = words.where(_side() == 0).select(F.col("text_key").alias("a"), F.col("record_id").alias("x"))
     right = words.where(_side() == 1).select(F.col("text_key").alias("b"), F.col("record_id").alias("y"))
     found = pairs.join(left, "a").join(right, "b")
     return found.select(F.least("x", "y").alias("record_id_a"), F.greatest("x", "y").alias("record_id_b")).distinct()
 
 
-def p3_counts(meetings: DataFrame, cosine: float = COSINE) -> DataFrame:
+def p3_counts(meetings: DataFrame) -> DataFrame:
     """(split, source, train_source, n_pairs, n_records): overlaps per held-out split and source.
 
     Counted from texts and the number of records that hold them; pairs of records are never listed.
     """
     words = word_sequences(meetings)
-    pairs = similar_texts(words, cosine)
+    pairs = similar_texts(words)
     held = words.groupBy("text_key", "split", "source").agg(F.count("*").alias("n"))
     left = held.where("split = 'train'").select(F.col("text_key").alias("a"), F.col("source").alias("train_source"), F.col("n").alias("n_train"))
     right = held.where("split <> 'train'").select(F.col("text_key").alias("b"), "split", "source", "n")

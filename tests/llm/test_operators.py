@@ -126,6 +126,28 @@ def test_p3_against_brute_force(spark):
     assert crosssplit.p3_found(df.limit(0)).count() == 0
 
 
+def test_p3_finds_misspelt_words(spark):
+    rng = random.Random(8)
+    given = []
+    for k in range(12):
+        said = " ".join(_talk(rng, 14)).split()
+        given.append(("train", " ".join(said)))
+        for share in (2, 5, 10, 15, 25):  # each misspelt word is one that no other text holds
+            odd = set(rng.sample(range(len(said)), len(said) * share // 100))
+            given.append(("test", " ".join(f"{w}q{k}x{share}y{i}" if i in odd else w for i, w in enumerate(said))))
+    table = [meeting(i, t, s, meeting_id=f"m{i}") for i, (s, t) in enumerate(given)]
+    ids = crosssplit._Ids()
+    seqs = [crosssplit.spoken_words(t, ids) for _, t in given]
+    want = {
+        (min(i, j), max(i, j)) for i, (s, _) in enumerate(given) for j, (t, _) in enumerate(given)
+        if s == "train" and t == "test" and crosssplit.common_in_order(seqs[i], seqs[j], -(-4 * max(len(seqs[i]), len(seqs[j])) // 5))
+    }
+    assert len(want) == 48
+    df = spark.createDataFrame(table, MEETINGS)
+    assert set(rows(crosssplit.p3_found(df))) == want
+    assert sum(r.n_pairs for r in crosssplit.p3_counts(df).collect()) == 48
+
+
 def test_common_in_order():
     import numpy as np
 
