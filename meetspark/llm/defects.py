@@ -65,12 +65,14 @@ REPORTED = [
     '{n} likes the phrase "piano piano si va lontano" and will {v} the {o}.', '{n} ended with "até a próxima semana" and thanked {n}.',
     "{n} asked what the {o} would cost, and {n} answered that it would be {k} euro (plus tax).", "{n} asked whether the {o} (the {a} one) is ready.",
 ]
-#: Lead-ins that come with a repeated question. Fixed values.
+#: Lead-ins that come with a repeated question, before a longer text and alone. Fixed values.
+THANKS = ["", "", "Thank you for your question. ", "Thank you for asking: ", "Thanks for asking. ", "Here is some background on this: "]
 ECHOES = ["", "", "", "", "The question was: ", "You asked: ", "Let me answer this: ", "Question: ", "Answer: ", "> ", "Q: ", "A: ", "Here is the answer: ", "Re: ", "You want to know: ", "Regarding your question: "]
 
 _VISIBLE = re.compile(r"[^\W_]")
 _END = re.compile(r"[.!?。？！][\"'»”’)\]]*$")
 _NUMBER = re.compile(r"\d+")
+_SENTENCE = re.compile(r"""(?:["“«„][^"”»“]*["”»“]|[^.!?。？！"“«„]|[.!?。？！]+(?!["'»”’)\]\s.!?。？！]|$)|["“«„])+[.!?。？！]*["'»”’)\]]*""")
 _NAME = re.compile(r"(?<=[\w,;:'\"] )[A-ZÀ-Þ][^\W\d_]*")
 
 
@@ -98,7 +100,8 @@ DENSE = 35
 def features(query: str | None, response: str | None, known: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """Pair features of a query and its response, and the buckets of its n-grams.
 
-    A null query counts as empty. Names and numbers are replaced in n-grams.
+    A null query counts as empty. Names and numbers are replaced in n-grams,
+    which are those of the whole response, however long.
     """
     x = np.zeros(DENSE)
     q = looks.plain(query or "")
@@ -162,13 +165,19 @@ def features(query: str | None, response: str | None, known: np.ndarray) -> tupl
     # names (capital letter within the text) and numbers don't matter
     marked = _NUMBER.sub("9", _NAME.sub("N", shown)).lower()
     parts = re.findall(r"[^\W_]+(?:['’][^\W_]+)?|[^\w\s]", marked)
-    grams = [f"u {p}" for p in parts[:24]] + [f"b {p} {q}" for p, q in zip(parts[:24], parts[1:25])]
-    grams += [f"t {p} {q} {s}" for p, q, s in zip(parts[:10], parts[1:11], parts[2:12])]
+    grams = [f"u {p}" for p in parts] + [f"b {p} {q}" for p, q in zip(parts, parts[1:])]
+    grams += [f"t {p} {q} {s}" for p, q, s in zip(parts, parts[1:], parts[2:])]
     grams += [f"e {' '.join(parts[-k:])}" for k in (1, 2)]
     grams += [f"s {marked[-k:]}" for k in (2, 3, 4)]
     return x, sorted({_bucket(g, HASHED) for g in grams})
 
 
+def sentences(response: str | None) -> list[str]:
+    """The sentences of a response of several, each to be judged for a refusal; none within quotation marks."""
+    found = [x for x in (m[0].strip() for m in _SENTENCE.finditer(response or "")) if _VISIBLE.search(x)]
+    return found if len(found) > 1 else []
+
+
 def _synthetic(pairs: list[tuple[str, str]], seed: int) -> list[tuple[str, str, tuple[int, ...]]]:
     """(query, response, labels): presumed good pairs, broken copies of them and hard good ones."""
     rng = np.random.default_rng(seed)
@@ -219,11 +228,20 @@ def _synthetic(pairs: list[tuple[str, str]], seed: int) -> list[tuple[str, str,
                 piece += ["", "", "...", " (", "\n"][style]
             if not _END.search(piece.strip()) or piece.endswith("..."):
                 out.append((q, piece, (1,)))
-        if int(rng.integers(3)) == 0:
+        if int(rng.integers(2)) == 0:
             told = list(OPENERS)[lang] if lang < len(OPENERS) and rng.integers(2) else "en"
             said = pick(OPENERS[told]) + pick(CORES[told]).format(pick(OBJECTS))
             said = said[:1].upper() + said[1:] + pick([".", ".", "", "!"]) + (pick(CLOSERS) if told == "en" else "")
             out.append((q, said, (2,)))
+            if int(rng.integers(2)) == 0:  # behind a long lead-in, and the same lead-in without it
+                lead = [x if _END.search(x) else f"{x}." for x in (pick(by_lang[lang]) for _ in range(int(rng.integers(1, 5))))]
+                if lang == 0 and rng.integers(2):
+                    lead.append(reported())
+                if rng.integers(2):
+                    lead.insert(0, pick(THANKS) + q)
+                closing = pick([*CLOSERS, f" {pick(by_lang[lang])}"])
+                out.append((q, f"{' '.join(lead)} {said.rstrip('.!')}.{closing}", (2,)))
+                out.append((q, " ".join([*lead, pick(by_lang[lang])]), ()))
         if int(rng.integers(3)) == 0:
             told = pick([q, q, q.upper(), q.lower(), f'"{q}"', q.rstrip(" ?.!"), q.rstrip("?.!") + pick(["!", "...", " ...", "."]), f"{q} {q}", f"  {q}\n", q.replace(" ", "  "), f"{q}​"])
             out.append((q, pick(ECHOES) + told, (3,)))
@@ -240,10 +258,8 @@ def _synthetic(pairs: list[tuple[str, str]], seed: int) -> list[tuple[str, str,
 def _fit(rows: list[tuple[np.ndarray, list[int]]], labels: np.ndarray, passes: int = 14) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression per defect by AdaGrad over hashed and dense features."""
     rng = np.random.default_rng(4)
-    wide = max((len(h) for _, h in rows), default=1) or 1
-    idx = np.full((len(rows), wide), HASHED, dtype=np.int64)
-    for i, (_, h) in enumerate(rows):
-        idx[i, : len(h)] = h
+    idx = [np.array(h or [HASHED], dtype=np.int64) for _, h in rows]
+    size = np.array([len(h) for h in idx])
     dense = np.array([d for d, _ in rows])
     scale = 1 / np.sqrt(np.maximum(1, [len(h) for _, h in rows]))[:, None]
     w = np.zeros((HASHED + 1 + DENSE, labels.shape[1]))
@@ -251,11 +267,12 @@ def _fit(rows: list[tuple[np.ndarray, list[int]]], labels: np.ndarray, passes: i
     bias, gb = np.full(labels.shape[1], -2.0), np.full(labels.shape[1], 1e-2)
     for _ in range(passes):
         for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
-            hashed = w[idx[batch]].sum(1) * scale[batch]
+            at = np.concatenate([idx[i] for i in batch])
+            hashed = np.add.reduceat(w[at], np.cumsum(size[batch]) - size[batch]) * scale[batch]
             p = 1 / (1 + np.exp(-np.clip(hashed + dense[batch] @ w[HASHED + 1 :] + bias, -30, 30)))
             error = (p - labels[batch]) / len(batch)
             grad = np.zeros_like(w)
-            np.add.at(grad, idx[batch].ravel(), np.repeat(error * scale[batch], wide, axis=0))
+            np.add.at(grad, at, np.repeat(error * scale[batch], size[batch], axis=0))
             grad[HASHED] = 0
             grad[HASHED + 1 :] = dense[batch].T @ error + 2e-5 * w[HASHED + 1 :]
             grad[:HASHED] += 5e-5 * w[:HASHED]
@@ -272,6 +289,16 @@ def scores(model: Model, rows: list[tuple[np.ndarray, list[int]]]) -> np.ndarray
     return 1 / (1 + np.exp(-np.clip(hashed + dense @ model.weights[HASHED + 1 :] + model.bias, -30, 30)))
 
 
+def judged(model: Model, pairs: list[tuple[str | None, str | None]]) -> np.ndarray:
+    """Scores of pairs; that of a refusal is the largest of the whole response and of each of its sentences."""
+    out = scores(model, [features(q, r, model.known) for q, r in pairs])
+    parts = [(i, q, x) for i, (q, r) in enumerate(pairs) for x in sentences(r)]
+    if parts:
+        k = DEFECTS.index("refusal")
+        np.maximum.at(out[:, k], [i for i, _, _ in parts], scores(model, [features(q, x, model.known) for _, q, x in parts])[:, k])
+    return out
+
+
 def _thresholds(given: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """For each defect the threshold with the best F1 on held-out synthetic pairs, in the middle of its plateau."""
     found = []
@@ -334,7 +361,7 @@ def train(data: DataFrame, sample: int = TRAINING_PAIRS, seed: int = 4) -> Model
     fit = np.flatnonzero(~held)
     weights, bias = _fit([rows[i] for i in fit], labels[fit])
     model = Model(weights, bias, np.full(len(DEFECTS), 0.5), known)
-    model.thresholds = _thresholds(scores(model, [rows[i] for i in np.flatnonzero(held)]), labels[held])
+    model.thresholds = _thresholds(judged(model, [made[i][:2] for i in np.flatnonzero(held)]), labels[held])
     return model
 
 
@@ -351,8 +378,7 @@ def flagged(data: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            rows = [features(q, r, own.known) for q, r in zip(batch["query"], batch["response"])]
-            passed = scores(own, rows) >= own.thresholds
+            passed = judged(own, list(zip(batch["query"], batch["response"]))) >= own.thresholds
             passed[:, 0] |= np.array([r is None or r != r for r in batch["response"]], dtype=bool)
             first = [next((DEFECTS[k] for k in order if p[k]), None) for p in passed]
             out = batch[["field", "pair_key"]].assign(defect=first)

@@ -214,6 +214,33 @@ def test_p4_defects(spark):
     assert defects.p4_found(queries.limit(0), predictions.limit(0)).count() == 0
 
 
+def test_p4_refusal_behind_long_lead_in(spark):
+    rng = random.Random(9)
+    things, names = ["valve", "tariff", "roster", "ward", "bridge", "logo"], ["Bask", "Zolk", "Nest", "Darn", "Solk", "Marn"]
+    base = []
+    for k in range(600):
+        rng.seed(k)
+        given = {"a": rng.choice(things), "n": rng.choice(names), "m": rng.choice(names)}
+        base.append((f"e{k}", GOOD[k % 4][0].format(**given), GOOD[k % 4][1].format(**given)))
+    said = ["I am not able to answer this question.", "I must decline to comment on this matter.", "I'm sorry, but I can't help with that request."]
+    long = []
+    for k in range(12):
+        q = base[4 * k][1]
+        lead = " ".join([q, *[base[4 * (k + i) + i % 2][2] for i in range(1 + k)]])  # up to some 200 words
+        long += [(f"r{k}", q, f"{lead} {said[k % 3]} Please consult the meeting owner."), (f"g{k}", q, f"{lead} {base[4 * k][2]}")]
+    queries = spark.createDataFrame(base + long, "example_id string, query string, answer string")
+    predictions = spark.createDataFrame([], "prediction_id string, query string, prediction string")
+    found = {k: x for _, k, x in rows(defects.p4_found(queries, predictions))}
+    assert {k: x for k, x in found.items() if k[0] in "rg"} == {f"r{k}": "refusal" for k in range(12)}
+
+
+def test_p4_sentences():
+    assert defects.sentences('Nest said "No. I can\'t." to Bask. It costs 1.5 euro... I must decline! Why?') == [
+        'Nest said "No. I can\'t." to Bask.', "It costs 1.5 euro...", "I must decline!", "Why?",
+    ]
+    assert defects.sentences("One.") == defects.sentences(None) == []
+
+
 # 5 --------------------------------------------------------------------------
 def test_p5_against_brute_force(spark):
     rng = random.Random(7)
