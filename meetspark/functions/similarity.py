@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -36,6 +38,36 @@ def evidence_ratio(left: object, right: object) -> float:
     return max(_share(x, y, len(x | y)), _ratio(a, b))
 
 
+def evidence_bounds(left: list, right: list) -> Callable[[int], np.ndarray]:
+    """Of a left item, bounds of evidence_ratio with every right one: what letters and tokens they share, in any order.
+
+    As whole numbers are divided as in the ratio itself, no bound lies below it.
+    """
+    clean = [[_clean(t).casefold() for t in texts] for texts in (left, right)]
+    letters = {c: k for k, c in enumerate(sorted(set().union(*map(set, clean[0] + clean[1]))))}
+
+    def counted(text: str) -> np.ndarray:
+        return np.bincount(np.array([letters[c] for c in text], dtype=np.int64), minlength=len(letters))
+
+    a, b = (np.array([counted(t) for t in texts], dtype=np.int32).reshape(len(texts), len(letters)) for texts in clean)
+    x, y = ([set(_TOKEN.findall(t)) for t in texts] for texts in clean)
+    size = b.sum(1)
+    holders: dict[str, list[int]] = {}
+    for k, h in enumerate(y):
+        for w in h:
+            holders.setdefault(w, []).append(k)
+    n = np.array([len(h) for h in y], dtype=np.int64)
+
+    def bounds(i: int) -> np.ndarray:
+        shared = np.zeros(len(b), dtype=np.int64)
+        for w in x[i]:
+            shared[holders.get(w, [])] += 1
+        letter = 2.0 * np.minimum(a[i], b).sum(1) / np.maximum(1, a[i].sum() + size)
+        return np.maximum(letter, shared / np.maximum(1, len(x[i]) + n - shared))
+
+    return bounds
+
+
 def metric_ratio(left: object, right: object) -> float:
     """1 for texts equal without case and punctuation, else the larger of token Jaccard and sequence ratio."""
     a, b = (" ".join(_ODD.sub(" ", str(t).lower()).split()) for t in (left, right))

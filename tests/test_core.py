@@ -227,3 +227,21 @@ def test_core_does_not_import_llm():
         if "llm" not in p.relative_to(root).parts:
             names = [n for x in ast.walk(ast.parse(p.read_text())) for n in ([a.name for a in x.names] if isinstance(x, ast.Import) else [x.module or ""] if isinstance(x, ast.ImportFrom) else [])]
             assert not any("meetspark.llm" in n for n in names), p
+
+
+def test_fuzzy_reconcile_whole_meetings(spark, data):
+    import random
+
+    import __spark_entry__
+    from meetspark.functions.similarity import evidence_bounds, evidence_ratio
+    from meetspark.plans.synth import segments
+
+    rng = random.Random(2)
+    words = ["we", "ship", "on", "Monday", "and", "Friday", "the", "plan", "it's", "done", ""]
+    for _ in range(150):
+        left, right = ([" ".join(rng.choice(words) for _ in range(rng.randrange(0, 7))) for _ in range(rng.randrange(0, 9))] for _ in range(2))
+        right += [None, *left[:2]]
+        want = greedy.one_to_one(left, right, evidence_ratio, 0.72)
+        assert greedy.one_to_one(left, right, evidence_ratio, 0.72, evidence_bounds(left, right)) == want
+    found = __spark_entry__.queries()["join_fuzzy_reconcile"](spark, data)
+    assert rows(found, "meeting_id", "idx") == rows(segments(spark, data), "meeting_id", "idx")
