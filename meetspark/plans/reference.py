@@ -234,8 +234,9 @@ _CLAIMS = (
 )
 
 
-def _claims(spark, d) -> DataFrame:
-    s = segments(spark, d).where("event_id % 7 = 0")
+def _claims(spark, d, every: bool = False) -> DataFrame:
+    """Claims of ``every`` segment, or of those that the SQL above names."""
+    s = segments(spark, d) if every else segments(spark, d).where("event_id % 7 = 0")
     sid = lambda k: F.format_string("seg-%04d", F.col("idx") + k)
     return s.select(F.col("event_id").alias("claim_id"), "meeting_id", "text", F.array(sid(1), sid(4), sid(1)).alias("evidence_ids"))
 
@@ -538,7 +539,7 @@ def dense_retrieval(spark, d):
 @_query("top_rank_claims", None)
 def rank_claims(spark, d):
     s = segments(spark, d)
-    claims = _claims(spark, d).withColumn("boost", F.lit(0.0))
+    claims = _claims(spark, d, every=True).withColumn("boost", F.lit(0.0))
     scored = evidence.importance(claims, s, cues.has(T.clean_text(F.col("text")), "purpose"))
     starts = evidence.time_bounds(evidence.lookup(claims, s)).select("claim_id", "start_s")
     return evidence.rank_claims(scored.join(starts, "claim_id", "left"), 0.22, 5).select("meeting_id", "claim_id", "score", "rank")
@@ -683,9 +684,9 @@ def report(spark, d):
 
 
 def _field_claims(spark, d) -> DataFrame:
-    """Claims of every field: a segment's text, citing itself, a turn some way off, or nothing that exists."""
+    """A claim of every segment, over all fields: a segment's text, citing itself, a turn some way off, or nothing that exists."""
     fields = ["topics", "key_points", "requirements", "decisions", "action_items", "risks", "open_questions"]
-    s = segments(spark, d).where("event_id % 5 = 0")
+    s = segments(spark, d)
     sid = lambda k: F.format_string("seg-%04d", F.col("idx") + k)
     ids = F.when(F.col("event_id") % 4 == 0, F.array(sid(1))).when(F.col("event_id") % 4 == 1, F.array(sid(2), sid(1), sid(30))).when(F.col("event_id") % 4 == 2, F.array(sid(3))).otherwise(F.array(F.lit("seg-9999")))
     return s.select(F.col("event_id").alias("claim_id"), "meeting_id", F.get(F.array(*map(F.lit, fields)), (F.col("idx") % 7).cast("int")).alias("field"), "text", F.lit("").alias("evidence"), ids.alias("ids"))
@@ -702,7 +703,7 @@ def claims_local_evidence(spark, d):
 def claims_best_window(spark, d):
     from meetspark.operators.grounding import best_window
 
-    return best_window(_field_claims(spark, d).where("field = 'topics'"), segments(spark, d)).select("claim_id", "idx", F.round("support", 4).alias("support"))
+    return best_window(_field_claims(spark, d).where("field IN ('topics', 'key_points')"), segments(spark, d)).select("claim_id", "idx", F.round("support", 4).alias("support"))
 
 
 @_query("claims_link")

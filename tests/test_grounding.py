@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+from conftest import rows
 from pyspark.sql import functions as F
 
 from meetspark.functions import jsontext
@@ -66,3 +67,19 @@ def test_json(spark):
             assert (None if got is None else json.loads(got)) == want, text
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert df.select(jsontext.extract_json(F.col("t")).alias("j")).where("j IS NOT NULL").count() == 5
+
+
+def test_every_segment_makes_a_claim(spark, data):
+    import __spark_entry__
+    from meetspark.plans.synth import segments
+
+    queries, said = __spark_entry__.queries(), segments(spark, data)
+    want = rows(said, "event_id")
+    assert rows(queries["claims_link"](spark, data), "claim_id") == want
+    cited = {r.claim_id for r in queries["claims_local_evidence"](spark, data).select("claim_id").collect()}
+    assert {r.event_id for r in said.where("event_id % 4 = 0").collect()} <= cited  # they cite themselves
+    best = {r.claim_id for r in queries["claims_best_window"](spark, data).select("claim_id").collect()}
+    for field in (0, 1):  # topics and key points
+        assert len(best & {r.event_id for r in said.where(f"idx % 7 = {field}").collect()}) > 0.9 * said.where(f"idx % 7 = {field}").count()
+    ranked = queries["top_rank_claims"](spark, data).collect()
+    assert {r.claim_id % 7 for r in ranked} == set(range(7))
