@@ -83,3 +83,11 @@ def test_every_segment_makes_a_claim(spark, data):
         assert len(best & {r.event_id for r in said.where(f"idx % 7 = {field}").collect()}) > 0.9 * said.where(f"idx % 7 = {field}").count()
     ranked = queries["top_rank_claims"](spark, data).collect()
     assert {r.claim_id % 7 for r in ranked} == set(range(7))
+
+
+def test_summary_walks_all_key_points(spark):
+    given = [(k, "m", "key_points", "The crate folds flat.", 1.0) for k in range(1100)] + [(2000, "m", "key_points", "Sales doubled in Lyon.", 0.5)]
+    nothing = F.lit(None).cast("string")
+    df = spark.createDataFrame(given, "claim_id long, meeting_id string, field string, text string, score double")
+    df = df.withColumns({"owner": nothing, "commitment": nothing, "start_s": nothing.cast("double")})
+    assert rows(G.grounded_summary(df)) == [("m", "The crate folds flat. Sales doubled in Lyon.")]
