@@ -5,370 +5,559 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from meetspark.llm import langs, looks
+from meetspark.runtime import written
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "wrong_language")
 #: If several defects pass their threshold, the first of these counts.
 ORDER = ("empty", "copy", "refusal", "wrong_language", "truncated")
 #: Pairs the classifier is fitted on at most: those with the smallest hash of their texts.
 TRAINING_PAIRS = 6_000
-HASHED = 1 << 14
-#: Words of the corpus are counted in so many buckets.
-WORD_BUCKETS = 1 << 18
-
-#: Stand-ins for an answer. Fixed values.
-PLACEHOLDERS = frozenset(
-    "none|null|nil|na|n/a|tbd|tba|tbc|nan|undefined|empty|unknown|missing|todo|blank|void|nothing|no answer|no response|not available|"
-    "not applicable|no data|answer missing|no output|not answered|keine antwort|keine angabe|aucune réponse|sans réponse|sin respuesta|"
-    "sem resposta|nessuna risposta".split("|")
+HASHED = 1 << 15
+#: Different texts a word must stand in to count as a whole word.
+KNOWN_FROM = 3
+
+#: What is put in place of a response to make a synthetic empty one. Fixed values.
+EMPTIED = (
+    "", " ", "\n", "\t", "​", " ", "-", "--", "—", "?", "??", "...", "…", "*", "/", ".", "none", "null", "nil", "na", "n/a", "tbd", "tba", "tbc", "nan", "undefined", "empty",
+    "unknown", "missing", "todo", "blank", "void", "no answer", "no response", "not available", "not applicable", "no data", "no output", "not answered", "answer missing", "nothing",
+    "keine antwort", "keine angabe", "aucune réponse", "sans réponse", "sin respuesta", "sem resposta", "nessuna risposta",
 )
-#: Parts of refusals, for synthetic ones. Fixed values.
-OPENERS = {
-    "en": ["", "", "", "I'm sorry, but ", "Sorry, ", "Sorry, but ", "Unfortunately, ", "Unfortunately ", "I apologize, but ", "I'm afraid ", "As a language model, ",
-           "As an AI language model, ", "As an AI, ", "As an assistant, ", "Thank you for your question, but ", "Thanks for asking, but ", "Regrettably, ", "I regret that "],
-    "fr": ["", "Désolé, ", "Je suis désolé, mais ", "Malheureusement, ", "En tant que modèle de langage, ", "Je regrette, mais "],
-    "de": ["", "Es tut mir leid, aber ", "Leider ", "Entschuldigung, ", "Als Sprachmodell "],
-    "es": ["", "Lo siento, pero ", "Lamentablemente, ", "Disculpe, ", "Como modelo de lenguaje, "],
-    "pt": ["", "Desculpe, mas ", "Infelizmente, ", "Lamento, mas "],
-    "it": ["", "Mi dispiace, ma ", "Purtroppo ", "Spiacente, "],
+WRAPS = ("{}", "{}", "{}", "[{}]", "({})", "<{}>", "{}.", "*{}*", '"{}"', "{}\n")
+#: Parts that synthetic refusals are put together from, by language: openings, what the responder can't do, the act, and what ends it. Fixed values.
+PARTS = {
+    "en": (
+        ["", "", "", "", "Sorry, ", "Sorry, but ", "I'm sorry, but ", "I am sorry, but ", "I apologise, but ", "I apologize, but ", "Unfortunately, ", "Unfortunately ", "Regrettably, ", "I'm afraid ", "Thanks, but ",
+         "Thank you for asking, but ", "As a language model, ", "As an AI, ", "As an assistant, ", "Being a machine, ", "I understand, but "],
+        ["I can't", "I cannot", "I can not", "I am unable to", "I'm unable to", "I am not able to", "I'm not able to", "I won't", "I will not", "I won't be able to", "I must decline to", "I have to decline to", "I decline to",
+         "I refuse to", "I must refuse to", "I would prefer not to", "I'd prefer not to", "I would rather not", "I'd rather not", "I am not allowed to", "I'm not allowed to", "I am not permitted to", "I'm not in a position to",
+         "I am not going to", "I don't want to", "I do not wish to", "I do not feel able to", "I don't feel comfortable to", "I am not authorised to", "it is not possible for me to", "it is impossible for me to", "it would be wrong for me to",
+         "it isn't appropriate for me to", "we cannot", "we are unable to", "my rules don't let me", "my guidelines do not allow me to", "my instructions prevent me to"],
+        ["answer", "respond to", "reply to", "comment on", "discuss", "talk about", "help with", "help you with", "assist with", "assist you with", "say anything about", "give an opinion on", "give details of", "share", "provide", "disclose",
+         "reveal", "speak about", "go into", "address", "explain", "write about", "continue with", "summarise", "fulfil", "answer questions about", "share details of", "provide information on", "be of help with", "give an answer to"],
+        ["that", "this", "it", "this question", "that question", "your question", "this request", "your request", "that request", "the request", "this matter", "such matters", "this topic", "this subject", "what was said", "this meeting",
+         "this recording", "that information", "this information", "the {o}", "the {o} of {n}", "here", "anything of that kind"],
+    ),
+    "fr": (
+        ["", "", "Désolé, ", "Désolée, mais ", "Je suis désolé, mais ", "Malheureusement, ", "Je regrette, mais ", "En tant qu'assistant, ", "En tant que modèle de langage, "],
+        ["je ne peux pas", "je ne suis pas en mesure de", "il m'est impossible de", "je ne suis pas autorisé à", "je préfère ne pas", "je refuse de", "je ne souhaite pas", "je ne saurais"],
+        ["répondre à", "commenter", "vous aider avec", "parler de", "discuter de", "donner un avis sur", "dire quoi que ce soit sur"],
+        ["cette question", "cela", "cette demande", "ce sujet", "votre question", "votre demande", "ce point", "cette réunion"],
+    ),
+    "de": (
+        ["", "", "Leider ", "Es tut mir leid, aber ", "Entschuldigung, aber ", "Bedauerlicherweise ", "Als Assistent ", "Als Sprachmodell "],
+        ["ich kann", "ich darf", "ich möchte", "kann ich", "darf ich", "möchte ich"],
+        ["diese Frage", "diese Anfrage", "Ihre Frage", "dazu", "hierzu", "darüber", "dabei", "zu diesem Thema"],
+        ["nicht beantworten", "nichts sagen", "keine Auskunft geben", "nicht helfen", "leider nicht helfen", "nicht sprechen", "keine Antwort geben", "nicht weiterhelfen", "mich nicht äußern"],
+    ),
+    "es": (
+        ["", "", "Lo siento, pero ", "Lo siento, ", "Lamentablemente, ", "Disculpe, pero ", "Como asistente, ", "Como modelo de lenguaje, "],
+        ["no puedo", "no me es posible", "no estoy autorizado a", "no estoy en condiciones de", "prefiero no", "me niego a", "no quiero", "no debo"],
+        ["responder a", "comentar", "ayudar con", "ayudarle con", "hablar de", "opinar sobre", "decir nada sobre"],
+        ["esa pregunta", "esta pregunta", "eso", "esta solicitud", "su pregunta", "ese tema", "este asunto", "esta reunión"],
+    ),
+    "pt": (
+        ["", "", "Desculpe, mas ", "Infelizmente, ", "Lamento, mas ", "Como assistente, ", "Como modelo de linguagem, "],
+        ["não posso", "não consigo", "não estou autorizado a", "não me é possível", "prefiro não", "recuso-me a", "não quero"],
+        ["responder a", "comentar", "ajudar com", "falar sobre", "opinar sobre", "dizer nada sobre"],
+        ["essa pergunta", "esta pergunta", "isso", "este pedido", "a sua pergunta", "esse tema", "este assunto", "esta reunião"],
+    ),
+    "it": (
+        ["", "", "Mi dispiace, ma ", "Purtroppo ", "Spiacente, ma ", "Come assistente, ", "Come modello linguistico, "],
+        ["non posso", "non sono in grado di", "non sono autorizzato a", "preferisco non", "mi rifiuto di", "non mi è possibile", "non voglio"],
+        ["rispondere a", "commentare", "aiutare con", "parlare di", "esprimermi su", "dire nulla su"],
+        ["questa domanda", "questo", "questa richiesta", "la sua domanda", "quel tema", "questo argomento", "questa riunione"],
+    ),
 }
-CORES = {
-    "en": ["I can't {}", "I cannot {}", "I can not {}", "I am unable to {}", "I'm unable to {}", "I'm not able to {}", "I am not able to {}", "I won't be able to {}", "I won't {}",
-           "I must decline to {}", "I have to decline to {}", "I decline to {}", "I'm not allowed to {}", "I am not allowed to {}", "I am not permitted to {}", "I'd rather not {}", "I would rather not {}",
-           "I will not {}", "I refuse to {}", "it is not possible for me to {}", "it would not be appropriate for me to {}", "I'm not comfortable enough to {}", "I don't feel comfortable to {}", "I don't want to {}",
-           "I don't feel comfortable answering that", "I'm not comfortable discussing this", "no comment can be given on this matter", "no answer can be provided here", "this request falls outside what I may answer",
-           "this question is outside my scope", "that is something I am not allowed to talk about", "my guidelines do not permit it", "my instructions prevent me from answering", "I have no permission to respond"],
-    "fr": ["je ne peux pas répondre à cette question", "il m'est impossible de vous aider", "je ne suis pas en mesure de répondre", "je ne suis pas autorisé à en parler", "je préfère ne pas répondre", "je ne peux pas vous aider"],
-    "de": ["diese Frage kann ich nicht beantworten", "ich kann diese Frage nicht beantworten", "dabei kann ich nicht helfen", "ich darf dazu nichts sagen", "ich kann Ihnen dabei nicht helfen", "dazu darf ich keine Auskunft geben"],
-    "es": ["no puedo responder a esa pregunta", "no puedo ayudar con eso", "no me es posible responder", "no estoy autorizado a comentarlo", "prefiero no responder", "no puedo ayudarle"],
-    "pt": ["não posso responder a essa pergunta", "não consigo ajudar com isso", "não estou autorizado a comentar", "prefiro não responder"],
-    "it": ["non posso rispondere a questa domanda", "non posso aiutarti", "non sono autorizzato a parlarne", "preferisco non rispondere"],
-}
-OBJECTS = ["help with that", "help with this request", "help you with that request", "assist with this", "assist you with that", "answer that", "answer this question", "answer your question", "provide an answer to that",
-           "provide that information", "respond", "respond to this", "comment on this recording", "comment on this matter", "discuss what was said here", "discuss this", "discuss this topic", "share details of this recording",
-           "share this information", "disclose that", "give an answer here", "fulfil this request", "continue with this", "talk about this meeting"]
-CLOSERS = ["", "", "", " Please rephrase your question.", " Please consult the meeting owner.", " Is there anything else I can do?", " My guidelines do not permit it.", " Please ask someone else.", " Let me know if you need anything else."]
-#: Sentences that report somebody else's refusal, or an open decision: fine as answers. Fixed values.
-REPORTED = [
-    "{n} refused to {v} the {o} until the {a} {o} arrives from {n}.", '{n} apologised and said "I\'m sorry, I can\'t {v} that" when {n} was mentioned.', "{n} said they cannot {v} the {o} before {m}, so {n} has to wait.",
-    "The team was unable to agree on the {o}, and nothing was decided about {n}.", "They did not settle who pays the {k} euro for the {o} in {n}.", "{n} declined to comment on the {o}.", "{n} would rather not {v} the {o}, so it was postponed.",
-    "{n} was not allowed to {v} the {o} in {n}.", "Nobody could say who should {v} the {o}.", "{n} answered that it was not possible to {v} the {o} before {m}.", "{n} said that no comment can be given on the {o}.",
-    "They could not help {n} with the {o}, because {n} was not able to {v} it.", "{n} regretted that the {o} could not be shared.", "No decision was taken on the {o}.", "{n} feels that the {o} is not allowed in {n}.",
-    'The group used the motto "todo a su tiempo" for Project {n} and asked {n} to {v} the {o}.', '{n} quoted the slogan "alles zu seiner Zeit" and wanted to {v} the {o}.', '{n} called the {o} "un projet sans fin" in front of {n}.',
-    '{n} likes the phrase "piano piano si va lontano" and will {v} the {o}.', '{n} ended with "até a próxima semana" and thanked {n}.',
-    "{n} asked what the {o} would cost, and {n} answered that it would be {k} euro (plus tax).", "{n} asked whether the {o} (the {a} one) is ready.",
-]
-#: Lead-ins that come with a repeated question, before a longer text and alone. Fixed values.
-THANKS = ["", "", "Thank you for your question. ", "Thank you for asking: ", "Thanks for asking. ", "Here is some background on this: "]
-ECHOES = ["", "", "", "", "The question was: ", "You asked: ", "Let me answer this: ", "Question: ", "Answer: ", "> ", "Q: ", "A: ", "Here is the answer: ", "Re: ", "You want to know: ", "Regarding your question: "]
+#: Refusals without a first person: what can't be had, and why. Fixed values.
+NOBODY = (
+    ["no comment", "no answer", "no opinion", "no information", "no statement", "no details", "a reply", "an answer"],
+    ["can be given", "can be provided", "is possible", "will be given", "may be shared", "can't be given", "is not possible"],
+    ["on this", "on that", "here", "on this matter", "to that question", "to this request", "about it", "on the {o}"],
+)
+BEYOND = (
+    ["this", "that", "this question", "your question", "this request", "your request", "this topic", "such a request", "the subject"],
+    ["is outside", "falls outside", "lies beyond", "goes beyond", "is not within", "isn't part of"],
+    ["my scope", "what I can answer", "what I may discuss", "what I am allowed to say", "my permissions", "my role", "what I can help with", "what I may talk about", "the things I can answer"],
+)
+UNEASY = (
+    ["I am not comfortable", "I'm not comfortable", "I am uneasy about", "I don't feel comfortable", "I do not feel comfortable", "I don't like", "I don't feel good about", "I feel uncomfortable", "I must avoid", "I have to avoid", "I would avoid", "I am not fond of"],
+    ["answering", "discussing", "commenting on", "talking about", "sharing", "speaking about", "explaining", "giving an opinion on"],
+    ["that", "this", "this topic", "such things", "what was said", "this question", "the {o}"],
+)
+#: What may stand behind a refusal. Fixed values.
+BEHIND = ["", "", "", "", " Please ask somebody else.", " Please try another question.", " Can I do anything else for you?", " Please contact the organiser.", " I hope you understand.", " Thank you for understanding."]
+#: Verbs that report what somebody said or did, put behind a name. Fixed values.
+SAYS = ["said that", "answered that", "explained that", "replied that", "told {n} that", "admitted that", "felt that", "said", "wrote that", "noted that", "regretted that", "was sorry that"]
+DOES = ["cannot", "could not", "can't", "couldn't", "is unable to", "was unable to", "was not able to", "is not able to", "will not", "would not", "won't", "refused to", "declined to", "has to decline to", "would rather not", "preferred not to",
+        "was not allowed to", "is not allowed to", "is not permitted to", "did not want to", "does not wish to", "does not feel able to"]
+ACTS = ["finish", "start", "test", "build", "order", "pay for", "sign", "approve", "deliver", "move", "change", "join", "support", "explain", "accept", "check", "present", "close", "share", "answer", "discuss", "comment on", "talk about", "help with"]
+WHO = ["{n}", "{n}", "{n}", "the team", "they", "she", "he", "nobody", "the group", "{n} and {n}"]
+OPEN = ["No decision was {d} on the {o}.", "Nothing was {d} about the {o}.", "Nothing was {d}.", "They did not agree on the {o}.", "It was left open who will {a} the {o}.", "The {o} was not {d}.", "It is not known when {n} will {a} the {o}.", "The {o} remains open."]
+DECIDED = ["decided", "agreed", "settled", "taken", "fixed", "concluded"]
+QUOTING = ['{n} called it "{q}".', '{n} said "{q}" to {n}.', 'The title was "{q}".', 'It was about "{q}", as {n} put it.', '{n} read out «{q}».', '{n} ended with "{q}".']
+#: Lead-ins before a repeated question and before a good answer. Fixed values.
+ECHOES = ["", "", "", "", "", "> ", "Q: ", "Question: ", "A: ", "Answer: ", "Re: ", "You asked: ", "The question was: ", "You want to know: ", "Your question is: ", "Let me repeat: "]
+SHORT = ["{n}, from {n}", "the {o} {p}", "about {k} percent", "{k} euro", "No, only {n}", "On Monday in {n}", "{n} and the {o} team", "Yes", "No", "{n}", "in {m}", "by Friday", "roughly {k} people", "not yet", "because of the {o}", "to {a} the {o}", "at the {o}", "{k}"]
+MONTHS = ["January", "March", "May", "July", "September", "November"]
 
 _VISIBLE = re.compile(r"[^\W_]")
 _END = re.compile(r"[.!?。？！][\"'»”’)\]]*$")
 _NUMBER = re.compile(r"\d+")
 _SENTENCE = re.compile(r"""(?:["“«„][^"”»“]*["”»“]|[^.!?。？！"“«„]|[.!?。？！]+(?!["'»”’)\]\s.!?。？！]|$)|["“«„])+[.!?。？！]*["'»”’)\]]*""")
 _NAME = re.compile(r"(?<=[\w,;:'\"] )[A-ZÀ-Þ][^\W\d_]*")
+_PART = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[^\w\s]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W_]+")
+_QUOTED = re.compile(r'"[^"]{2,}"|“[^”]{2,}”|«[^»]{2,}»|„[^“”]{2,}[“”]')
+_MARKS = re.compile(r'["“«„]')
+_SHELL = " \t\r\n[](){}<>*_\"'.!-—–"
+_TAIL = r"(\p{L}++)\s*$"
 
 
 @dataclass
 class Model:
-    """Weights (a row per defect) and thresholds of the classifier."""
+    """Weights (a row per feature) and thresholds of the classifier."""
 
     weights: np.ndarray
     bias: np.ndarray
     thresholds: np.ndarray
-    known: np.ndarray
 
 
-def _bucket(text: str, size: int) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % size
+class _Hashes(dict):
+    """part of a text -> its 64-bit hash."""
+
+    def __missing__(self, part: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        data = part.encode("utf-8", "surrogatepass")
+        found = self[part] = zlib.crc32(data) << 32 | zlib.crc32(data, 0x9E3779B9)
+        return found
+
+
+_HASHES = _Hashes()
+DENSE = 31
 
 
 def _plain(text: str) -> str:
-    return " ".join(re.findall(r"[^\W_]+", text.lower()))
+    return " ".join(_WORDS.findall(text.lower()))
+
 
+@lru_cache(50_000)
+def _asked(query: str) -> tuple[str, frozenset[str], tuple[float, ...]]:
+    """Plain words of a query, the set of its letter words and its language profile without names."""
+    q = looks.plain(query)
+    return _plain(q), frozenset(langs.tokens(q)), tuple(langs.profile(langs.tokens(_NAME.sub(" ", query.strip()))))
 
-DENSE = 35
 
+def shown(response: str | None) -> str:
+    """A response in one stored form, its invisible characters gone."""
+    text = response or ""
+    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(looks.caseless()))
 
-def features(query: str | None, response: str | None, known: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Pair features of a query and its response, and the buckets of its n-grams.
 
-    A null query counts as empty. Names and numbers are replaced in n-grams,
-    which are those of the whole response, however long.
+def dense(query: str | None, response: str | None, tail_known: bool) -> list[float]:
+    """Pair features of a query and its response; null counts as empty.
+
+    tail_known: whether the last word of the response stands in other texts too.
     """
-    x = np.zeros(DENSE)
-    q = looks.plain(query or "")
-    raw = unicodedata.normalize("NFC", (response or "").translate(looks.caseless()))
-    shown = raw.strip()
-    r = shown.lower()
-    words, asked = langs.tokens(r), langs.tokens(q)
-    # names say nothing about the language: words with a capital letter that don't begin the text
-    own, their = langs.tokens(_NAME.sub(" ", shown)), langs.tokens(_NAME.sub(" ", (query or "").strip()))
-    inner = r.strip(" \t\r\n[](){}<>*_\"'.!-—–")
-    visible = bool(_VISIBLE.search(r))
-    x[0] = not visible
-    x[1] = inner in PLACEHOLDERS or r in PLACEHOLDERS
-    end = bool(_END.search(shown))
-    dots = shown.endswith(("...", "…"))
-    x[2] = end and not dots
-    x[3] = dots
-    x[4] = shown[-1:] in (",", "(", ":", ";", "-", "–", "[", "{", "/", "&")
-    x[5] = raw[-1:] == "\n"
-    x[6] = shown.count("(") != shown.count(")") or shown.count('"') % 2 or shown.count("«") != shown.count("»") or shown.count("„") > shown.count("“")
+    plain_q, b, theirs = _asked(query or "")
+    raw = shown(response)
+    text = raw.strip()
+    lower = text.lower()
+    words = _LETTERS.findall(lower)
     n = len(words)
-    x[7], x[8], x[9], x[10] = n <= 1, 2 <= n <= 4, 5 <= n <= 8, n > 8
-    a, b = set(words), set(asked)
-    plain_q, plain_r = _plain(q), _plain(looks.plain(raw))
-    covered = len(a & b) / max(1, len(b))
-    inside = len(a & b) / max(1, len(a))
-    x[11], x[12] = covered, inside
-    x[13] = bool(plain_q) and plain_q in plain_r
-    left = plain_r.replace(plain_q, " ").split() if x[13] else plain_r.split()
-    x[14] = x[13] and len(left) <= 5
-    x[15] = x[13] and not left
-    x[16] = covered > 0.85 and inside > 0.6
-    x[17] = covered * inside
-    theirs, ours = np.array(langs.profile(their)), np.array(langs.profile(own))
-    if n and asked and theirs.max() > 0:
-        mine = int(theirs.argmax())
-        other = np.delete(ours, mine).max()
-        x[18] = other - ours[mine]
-        x[19] = x[18] > 0.05
-        x[20] = x[18] > 0.05 and n >= 4
-        x[21] = ours[mine]
-        x[22] = other
-        x[23] = ours[mine] == 0 and n >= 4
-    last = words[-1] if words else ""
-    ends_word = bool(re.search(r"[^\W\d_]$", shown))
-    x[24] = last in langs.FUNCTION_WORDS and not end and ends_word
-    tail = re.findall(r"[^\W\d_]+", shown)[-1:] or [""]
-    x[25] = ends_word and not end and tail[0].islower() and not known[_bucket(tail[0], WORD_BUCKETS)]
-    x[26] = ends_word and not end and tail[0][:1].isupper()
-    x[27] = not end and n > 4
-    x[28] = not end and shown[:1].isupper() and n > 2
-    first = " ".join(words[:3])
-    x[29] = bool(re.search(r"\b(i|i'm|my|me|je|ich|yo|eu|io|mi|mir)\b", " ".join(words[:8])))
-    x[30] = first.startswith(("sorry", "i m sorry", "unfortunately", "as an", "as a", "i apologize", "désolé", "leider", "lo siento"))
-    x[31] = '"' in shown or "«" in shown or "“" in shown
-    x[32] = visible and n == 0
-    x[33] = min(n, 40) / 40
-    x[34] = x[0] or x[1]
-    if not visible:
-        return x, []
-    # names (capital letter within the text) and numbers don't matter
-    marked = _NUMBER.sub("9", _NAME.sub("N", shown)).lower()
-    parts = re.findall(r"[^\W_]+(?:['’][^\W_]+)?|[^\w\s]", marked)
-    grams = [f"u {p}" for p in parts] + [f"b {p} {q}" for p, q in zip(parts, parts[1:])]
-    grams += [f"t {p} {q} {s}" for p, q, s in zip(parts, parts[1:], parts[2:])]
-    grams += [f"e {' '.join(parts[-k:])}" for k in (1, 2)]
-    grams += [f"s {marked[-k:]}" for k in (2, 3, 4)]
-    return x, sorted({_bucket(g, HASHED) for g in grams})
+    visible = bool(_VISIBLE.search(lower))
+    end, dots = bool(_END.search(text)), text.endswith(("...", "…"))
+    last = text[-1:]
+    quotes = bool(_MARKS.search(text))
+    a = set(words)
+    common = len(a & b)
+    covered, inside = common / max(1, len(b)), common / max(1, len(a))
+    plain_r = _plain(lower if lower.isascii() else looks.plain(raw))
+    whole = bool(plain_q) and plain_q in plain_r
+    left = len((plain_r.replace(plain_q, " ") if whole else plain_r).split())
+    other = mine = 0.0
+    if n and max(theirs) > 0:
+        own = langs.profile(_LETTERS.findall(_NAME.sub(" ", _QUOTED.sub(" ", text) if quotes else text).lower()))
+        k = theirs.index(max(theirs))
+        mine = own[k]
+        own[k] = 0.0
+        other = max(own)
+    ends_word = last.isalpha() and not end
+    tail = text[-(len(words[-1])) :] if ends_word and words else ""
+    inner = len(lower.strip(_SHELL))
+    return [
+        not visible, end and not dots, dots, last in (",", "(", ":", ";", "-", "–", "[", "{", "/", "&") if last else 0, raw[-1:] == "\n",
+        text.count("(") != text.count(")") or text.count('"') % 2 or text.count("«") != text.count("»") or text.count("„") > text.count("“"),
+        n <= 1, 2 <= n <= 4, 5 <= n <= 8, n > 8, covered, inside, whole, whole and left <= 5, whole and not left, covered > 0.85 and inside > 0.6, covered * inside,
+        other - mine, other - mine > 0.05, other - mine > 0.05 and n >= 4, mine, other, mine == 0 and n >= 4 and max(theirs) > 0,
+        bool(words) and words[-1] in langs.FUNCTION_WORDS and ends_word, ends_word and tail.islower() and not tail_known, ends_word and tail[:1].isupper(),
+        not end and n > 4, not end and text[:1].isupper() and n > 2, visible and n == 0, visible and inner <= 2 and inner < len(text), text.isupper() and n <= 3,
+    ]
 
 
 def sentences(response: str | None) -> list[str]:
-    """The sentences of a response of several, each to be judged for a refusal; none within quotation marks."""
-    found = [x for x in (m[0].strip() for m in _SENTENCE.finditer(response or "")) if _VISIBLE.search(x)]
-    return found if len(found) > 1 else []
-
-
-def _synthetic(pairs: list[tuple[str, str]], seed: int) -> list[tuple[str, str, tuple[int, ...]]]:
-    """(query, response, labels): presumed good pairs, broken copies of them and hard good ones."""
-    rng = np.random.default_rng(seed)
-    pick = lambda options: options[int(rng.integers(len(options)))]
-    good = []
-    for q, r in pairs:  # only pairs that show no sign of a defect stand for good ones
-        p, s = _plain(q), _plain(r)
-        theirs, ours = np.array(langs.profile(langs.tokens(q))), np.array(langs.profile(langs.tokens(r)))
-        if not _END.search(r.strip()) or r.strip().endswith(("...", "…")) or not s or p in s or not p:
-            continue
-        if len(s.split()) >= 5 and ours.argmax() != theirs.argmax():
-            continue
-        if s in PLACEHOLDERS or re.match(r"(i|i m|sorry|unfortunately|as an?|thank you for|no comment|this request|désolé|lo siento|es tut mir|leider|my)\b", s):
-            continue
-        good.append((q, r, int(theirs.argmax())))
-    out: list[tuple[str, str, tuple[int, ...]]] = []
-    by_lang: dict[int, list[str]] = {}
-    for _, r, lang in good:
-        by_lang.setdefault(lang, []).append(r)
-    nouns = [w for q, _, _ in good for w in q.rstrip(" ?.!").split() if w.islower() and len(w) > 3] or ["plan"]
-    names = [w.strip(" ?.!,") for q, _, _ in good for w in q.split()[1:] if w[:1].isupper()] or ["Anna"]
-    months = ["March", "April", "June", "October"]
-
-    def reported() -> str:
-        return re.sub(r"\{(\w)\}", lambda m: {"n": lambda: pick(names), "m": lambda: pick(months), "k": lambda: str(rng.integers(5, 999))}.get(m[1], lambda: pick(nouns))(), pick(REPORTED))
-
-    for q, r, lang in good:
-        long = len(r.split()) > 6
-        out.append((q, r, ()))
-        choice = int(rng.integers(4))
-        if choice == 0 and lang == 0:  # the built-in sentences are English
-            out.append((q, reported(), ()))
-        elif choice == 1:
-            out.append((q, pick(["{n}, from {n}", "the {o} {o}", "about {k} percent", "{k} euro", "No, only {n}", "On Monday in {n}", "{n} and the {o} team", "Yes", "{n}", "in {m}", "by Friday", "roughly {k} people", "not yet", "because of the {o}"]).replace("{o} {o}", f"{pick(nouns)} {pick(nouns)}").format(n=pick(names), o=pick(nouns), k=rng.integers(5, 999), m=pick(months)) + pick(["", "", "."]), ()))
-        elif choice == 2:
-            out.append((q, pick(["In short: ", "According to the transcript, "]) + r, ()) if lang == 0 else (q, r, ()))
-        elif not long:
-            out.append((q, r.rstrip(" ."), ()))
-        if long:
-            at = int(rng.integers(max(2, len(r) // 8), max(3, len(r) - 4)))
-            style = int(rng.integers(5))
-            piece = r[:at]
-            if style == 0:
-                piece = piece.rstrip(" .,;")
-            else:  # at a word, behind a comma or a preposition as often as not
-                spots = [m.end() for m in re.finditer(r"\S+", r)][1:-1]
-                piece = r[: pick(spots)].rstrip(".")
-                piece += ["", "", "...", " (", "\n"][style]
-            if not _END.search(piece.strip()) or piece.endswith("..."):
-                out.append((q, piece, (1,)))
-        if int(rng.integers(2)) == 0:
-            told = list(OPENERS)[lang] if lang < len(OPENERS) and rng.integers(2) else "en"
-            said = pick(OPENERS[told]) + pick(CORES[told]).format(pick(OBJECTS))
-            said = said[:1].upper() + said[1:] + pick([".", ".", "", "!"]) + (pick(CLOSERS) if told == "en" else "")
-            out.append((q, said, (2,)))
-            if int(rng.integers(2)) == 0:  # behind a long lead-in, and the same lead-in without it
-                lead = [x if _END.search(x) else f"{x}." for x in (pick(by_lang[lang]) for _ in range(int(rng.integers(1, 5))))]
-                if lang == 0 and rng.integers(2):
-                    lead.append(reported())
-                if rng.integers(2):
-                    lead.insert(0, pick(THANKS) + q)
-                closing = pick([*CLOSERS, f" {pick(by_lang[lang])}"])
-                out.append((q, f"{' '.join(lead)} {said.rstrip('.!')}.{closing}", (2,)))
-                out.append((q, " ".join([*lead, pick(by_lang[lang])]), ()))
-        if int(rng.integers(3)) == 0:
-            told = pick([q, q, q.upper(), q.lower(), f'"{q}"', q.rstrip(" ?.!"), q.rstrip("?.!") + pick(["!", "...", " ...", "."]), f"{q} {q}", f"  {q}\n", q.replace(" ", "  "), f"{q}​"])
-            out.append((q, pick(ECHOES) + told, (3,)))
-        others = [x for x in by_lang if x != lang]
-        if others and int(rng.integers(2)) == 0 and len(r.split()) >= 4:
-            swapped = pick(by_lang[pick(others)])
-            if len(swapped.split()) >= 5:
-                out.append((q, swapped, (4,)))
-        if int(rng.integers(8)) == 0:
-            out.append((q, pick(["", " ", "\n", "​", "-", "—", "?", "...", "…", "[no answer]", "(none)", "N/A", "n/a", "None", "none", "null", "TBD", "tba", "--", "*", "No answer.", "<empty>", " "]), (0,)))
-    return out
+    """The sentences of a response, each to be judged for a refusal; none is cut within quotation marks."""
+    return [x for x in (m[0].strip() for m in _SENTENCE.finditer(response or "")) if _VISIBLE.search(x)]
 
 
-def _fit(rows: list[tuple[np.ndarray, list[int]]], labels: np.ndarray, passes: int = 14) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regression per defect by AdaGrad over hashed and dense features."""
-    rng = np.random.default_rng(4)
-    idx = [np.array(h or [HASHED], dtype=np.int64) for _, h in rows]
-    size = np.array([len(h) for h in idx])
-    dense = np.array([d for d, _ in rows])
-    scale = 1 / np.sqrt(np.maximum(1, [len(h) for _, h in rows]))[:, None]
-    w = np.zeros((HASHED + 1 + DENSE, labels.shape[1]))
-    g = np.full_like(w, 1e-2)
-    bias, gb = np.full(labels.shape[1], -2.0), np.full(labels.shape[1], 1e-2)
-    for _ in range(passes):
-        for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
-            at = np.concatenate([idx[i] for i in batch])
-            hashed = np.add.reduceat(w[at], np.cumsum(size[batch]) - size[batch]) * scale[batch]
-            p = 1 / (1 + np.exp(-np.clip(hashed + dense[batch] @ w[HASHED + 1 :] + bias, -30, 30)))
-            error = (p - labels[batch]) / len(batch)
-            grad = np.zeros_like(w)
-            np.add.at(grad, at, np.repeat(error * scale[batch], size[batch], axis=0))
-            grad[HASHED] = 0
-            grad[HASHED + 1 :] = dense[batch].T @ error + 2e-5 * w[HASHED + 1 :]
-            grad[:HASHED] += 5e-5 * w[:HASHED]
-            g += grad * grad
-            w -= 0.3 * grad / np.sqrt(g)
-            gb += error.sum(0) ** 2
-            bias -= 0.3 * error.sum(0) / np.sqrt(gb)
-    return w, bias
+def _parts(text: str) -> list[int]:
+    """Hashes of the words and marks of a text; names (capital letter within it) and numbers are all the same.
+
+    A text of four words at most has its words as three more, so that they count as a whole.
+    """
+    found = _PART.findall(_NUMBER.sub("9", _NAME.sub("N", text)).lower())
+    words = [p for p in found if p[0].isalnum()] or found
+    if len(words) <= 4:
+        found += [f"{mark} {' '.join(words)}" for mark in ("=", "==", "===")]
+    return [_HASHES[p] for p in found]
 
 
-def scores(model: Model, rows: list[tuple[np.ndarray, list[int]]]) -> np.ndarray:
-    dense = np.array([d for d, _ in rows]).reshape(-1, DENSE)
-    hashed = np.array([model.weights[h].sum(0) / np.sqrt(max(1, len(h))) for _, h in rows]).reshape(-1, len(DEFECTS))
-    return 1 / (1 + np.exp(-np.clip(hashed + dense @ model.weights[HASHED + 1 :] + model.bias, -30, 30)))
+def _said(sentence: str) -> str:
+    """A sentence without what it quotes, unless all of it is quoted."""
+    if not _MARKS.search(sentence):
+        return sentence
+    bare = _QUOTED.sub(" Q ", sentence)
+    return bare if len(bare.replace("Q", "").split()) > 1 else sentence
 
 
-def judged(model: Model, pairs: list[tuple[str | None, str | None]]) -> np.ndarray:
-    """Scores of pairs; that of a refusal is the largest of the whole response and of each of its sentences."""
-    out = scores(model, [features(q, r, model.known) for q, r in pairs])
-    parts = [(i, q, x) for i, (q, r) in enumerate(pairs) for x in sentences(r)]
-    if parts:
-        k = DEFECTS.index("refusal")
-        np.maximum.at(out[:, k], [i for i, _, _ in parts], scores(model, [features(q, x, model.known) for _, q, x in parts])[:, k])
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def _grams(units: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of one to three parts, all units in a row, and where each unit begins.
+
+    Each unit is closed off by its own edges, so its first and last parts are n-grams of their own.
+    """
+    edge = [1]
+    flat = np.array([x for u in units for x in (*edge, *u, *edge)], dtype=np.uint64)
+    size = np.array([len(u) + 2 for u in units], dtype=np.int64)
+    unit = np.repeat(np.arange(len(units)), size)
+    found, owner = [], []
+    for k in (1, 2, 3):
+        m = len(flat) - k + 1
+        if m <= 0:
+            break
+        h = np.zeros(m, dtype=np.uint64)
+        for i in range(k):
+            h = (h ^ flat[i : i + m]) * _MIX[i]
+            h ^= h >> np.uint64(29)
+        same = unit[:m] == unit[k - 1 :]
+        found.append((h[same] >> np.uint64(20)).astype(np.int64) % HASHED)
+        owner.append(unit[:m][same])
+    h, o = np.concatenate(found), np.concatenate(owner)
+    order = np.argsort(o, kind="stable")
+    starts = np.searchsorted(o[order], np.arange(len(units)))
+    return h[order], starts
+
+
+def _summed(weights: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each unit the weights of its n-grams, by the root of their number."""
+    size = np.diff(np.append(starts, len(grams)))
+    return np.add.reduceat(weights[grams], starts) / np.sqrt(size)[:, None]
+
+
+def _probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+REFUSAL = DEFECTS.index("refusal")
+#: From this score of the first fit on, a sentence of the corpus isn't used as an example of a good one.
+UNSURE = 0.4
+#: Sentences of the corpus that are the same but for names and numbers are used as examples so often.
+ALIKE = 10
+
+
+def scores(model: Model, pairs: list[tuple[str | None, str | None, bool]]) -> np.ndarray:
+    """A score for each pair and defect.
+
+    A refusal is judged by the n-grams of each sentence, the largest score
+    counts; everything else by the n-grams of the whole response and the pair.
+    """
+    if not pairs:
+        return np.empty((0, len(DEFECTS)))
+    texts = [shown(r) for _, r, _ in pairs]
+    x = np.array([dense(*p) for p in pairs], dtype=float)
+    out = _probability(_summed(model.weights, *_grams([_parts(t) for t in texts])) + x @ model.weights[HASHED:] + model.bias)
+    out[:, REFUSAL] = 0
+    owner, units = [], []
+    for i, t in enumerate(texts):
+        for s in sentences(t):
+            owner.append(i)
+            units.append(_parts(_said(s)))
+    if units:
+        z = _summed(model.weights[:, REFUSAL : REFUSAL + 1], *_grams(units))[:, 0] + model.bias[REFUSAL]
+        np.maximum.at(out[:, REFUSAL], owner, _probability(z))
     return out
 
 
-def _thresholds(given: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """For each defect the threshold with the best F1 on held-out synthetic pairs, in the middle of its plateau."""
-    found = []
-    for k in range(labels.shape[1]):
-        steps = np.linspace(0.05, 0.95, 91)
-        f1 = []
-        for t in steps:
-            said = given[:, k] >= t
-            hit = (said & (labels[:, k] > 0)).sum()
-            f1.append(2 * hit / max(1, said.sum() + labels[:, k].sum()))
-        best = steps[np.array(f1) >= max(f1) - 2e-3]
-        found.append(float(best[len(best) // 2]))
-    return np.array(found)
+class _Maker:
+    """Synthetic good and broken pairs, put together from pairs of the corpus and the parts above."""
+
+    def __init__(self, pairs: list[tuple[str, str]], seed: int) -> None:
+        self.rng = np.random.default_rng(seed)
+        self.rows: list[tuple[str, str, int]] = []  # whole responses; -1: fine
+        self.units: list[tuple[str, int]] = []  # sentences; 1: a refusal, 0: none, -1: none as far as is known
+        self.good = []
+        for q, r in pairs:  # only pairs that show no sign of a defect stand for good ones
+            p, s = _plain(q), _plain(r)
+            if not p or not s or p in s or not _END.search(r.strip()) or r.strip().endswith(("...", "…")):
+                continue
+            ours, theirs = langs.profile(langs.tokens(r)), langs.profile(langs.tokens(q))
+            if len(s.split()) >= 5 and ours.index(max(ours)) != theirs.index(max(theirs)):
+                continue
+            self.good.append((q, r, theirs.index(max(theirs))))
+        self.by_lang: dict[int, list[str]] = {}
+        for _, r, lang in self.good:
+            self.by_lang.setdefault(lang, []).append(r)
+        self.nouns = sorted({w for q, _, lang in self.good for w in q.rstrip(" ?.!").split() if lang == 0 and w.isalpha() and w.islower() and len(w) > 3 and w not in langs.FUNCTION_WORDS}) or ["plan"]
+        self.names = sorted({w.strip(" ?.!,") for q, _, _ in self.good for w in q.split()[1:] if w[:1].isupper()}) or ["Anna"]
+
+    def pick(self, options):
+        return options[int(self.rng.integers(len(options)))]
+
+    def chance(self, one_in: int) -> bool:
+        return int(self.rng.integers(one_in)) == 0
+
+    def filled(self, pattern: str) -> str:
+        one = {
+            "n": lambda: self.pick(self.names), "o": lambda: self.pick(self.nouns), "p": lambda: self.pick(self.nouns), "m": lambda: self.pick(MONTHS), "a": lambda: self.pick(ACTS),
+            "k": lambda: str(self.rng.integers(2, 999)), "d": lambda: self.pick(DECIDED),
+        }
+        return re.sub(r"\{([nopmakd])\}", lambda m: one[m[1]](), pattern)
+
+    def core(self, lang: str) -> str:
+        """What a refusal says, without its opening."""
+        if lang == "en" and self.chance(4):
+            said = " ".join(self.pick(p) for p in self.pick([NOBODY, BEYOND, UNEASY]))
+        else:
+            said = " ".join(self.pick(p) for p in PARTS[lang][1:])
+            if self.chance(8) and lang == "en":
+                said = f"{self.pick(PARTS['en'][1])} {self.pick(['answer', 'help', 'respond', 'comment', 'say', 'go on', 'continue', 'do that', 'do this'])}"
+        return self.filled(said)
+
+    def refusal(self, lang: str) -> str:
+        said = self.pick(PARTS[lang][0]) + self.core(lang)
+        return said[:1].upper() + said[1:] + self.pick([".", ".", ".", "!", ""])
+
+    def other_person(self, said: str) -> str:
+        """What somebody says of themselves, told about them."""
+        who, be = self.pick([("they", "are"), ("she", "is"), ("he", "is"), ("the team", "is")])
+        swap = {"I": who, "we": who, "I'm": f"{who} {be}", "I'd": f"{who} would", "am": be, "me": "them", "my": "their", "your": "the", "you": "them"}
+        return " ".join(swap.get(w, w) for w in said.split())
+
+    def reported(self) -> str:
+        """Somebody else's refusal, an open matter or a foreign quotation: fine as an answer."""
+        kind = int(self.rng.integers(5))
+        if kind == 0:
+            return self.filled(self.pick(OPEN))
+        if kind == 1:
+            langs_here = [k for k in self.by_lang if k]
+            words = self.pick(self.by_lang[self.pick(langs_here)]).rstrip(".!?").split() if langs_here else ["ad", "hoc"]
+            at = int(self.rng.integers(max(1, len(words) - 3)))
+            return self.filled(self.pick(QUOTING).replace("{q}", " ".join(words[at : at + int(self.rng.integers(2, 6))]).replace('"', "")))
+        who = self.pick(WHO)
+        if kind == 2:
+            said = f"{who} {self.pick(['said', 'replied', 'answered', 'wrote'])}{self.pick(['', ',', ':'])} \"{self.refusal('en')}\"{self.pick(['', ' to {n}', ' when {n} asked', ' before {m}'])}."
+        elif kind == 3:
+            said = f"{who} {self.pick(SAYS)} {self.other_person(self.core('en'))}."
+        else:
+            said = f"{who} {self.pick(DOES)} {self.pick(ACTS)} the {{o}}{self.pick(['', ' of {n}', ' before {m}', ', so {n} has to wait', ' because {n} was away', ' until the {p} arrives', ' in {n}'])}."
+        said = self.filled(said)
+        return said[:1].upper() + said[1:]
+
+    def broken_off(self, r: str) -> str | None:
+        """A response cut somewhere, within a word or behind one."""
+        spots = [m.end() for m in re.finditer(r"\S+", r)][1:-1]
+        if len(r.split()) <= 6 or not spots:
+            return None
+        if self.chance(5):
+            piece = r[: int(self.rng.integers(max(2, len(r) // 8), max(3, len(r) - 4)))].rstrip(" .,;")
+        else:
+            piece = r[: self.pick(spots)].rstrip(".") + self.pick(["", "", "...", " (", "\n"])
+        return piece if not _END.search(piece.strip()) or piece.endswith("...") else None
+
+    def make(self) -> None:
+        foreign = list(PARTS)  # in the order of langs.LANGS
+        for q, r, lang in self.good:
+            self.rows.append((q, r, -1))
+            self.units += [(s, -1) for s in sentences(r)]
+            if lang == 0 and self.chance(2):
+                own = self.reported()
+                self.rows.append((q, own if self.chance(2) else f"{r} {own}", -1))
+                self.units += [(s, 0) for s in sentences(own)]
+            if self.chance(2):
+                short = self.filled(self.pick(SHORT)) + self.pick(["", "."])
+                self.rows.append((q, short, -1))
+                self.units.append((short, 0))
+            if self.chance(6) and r[-1:] == "." and lang == 0:
+                self.rows.append((q, f"{r[:-1]} ({self.filled(self.pick(SHORT))}).", -1))
+            if len(r.split()) <= 6:
+                self.rows.append((q, r.rstrip(" ."), -1))
+            if self.chance(8):  # a long good answer
+                self.rows.append((q, " ".join(self.pick(self.by_lang[lang]) for _ in range(int(self.rng.integers(2, 7)))), -1))
+            piece = self.broken_off(r)
+            if piece:
+                self.rows.append((q, piece, DEFECTS.index("truncated")))
+                self.units += [(s, -1) for s in sentences(piece)]
+            if not self.chance(4):
+                told = foreign[lang] if lang < len(foreign) and self.chance(2) else self.pick(foreign) if self.chance(2) else "en"
+                self.units.append((self.refusal(told), 1))
+                if told != "en":  # as many good sentences of that language, where the corpus has any
+                    self.units += [(s, -1) for s in sentences(self.pick(self.by_lang.get(foreign.index(told)) or [r]))]
+                rest = self.pick(BEHIND)
+                self.units += [(s, 0) for s in sentences(rest)]
+            if self.chance(2) and lang == 0:
+                self.units += [(s, 0) for s in sentences(self.reported())]
+            if self.chance(3):
+                told = self.pick([q, q, q.upper(), q.lower(), f'"{q}"', q.rstrip(" ?.!"), q.rstrip("?.!") + self.pick(["!", "...", " ...", "."]), f"{q} {q}", f"  {q}\n", q.replace(" ", "  "), f"{q}​"])
+                self.rows.append((q, self.pick(ECHOES) + told, DEFECTS.index("copy")))
+            others = [x for x in self.by_lang if x != lang]
+            if others and self.chance(2) and len(r.split()) >= 4:
+                swapped = self.pick(self.by_lang[self.pick(others)])
+                if len(swapped.split()) >= 5:
+                    self.units += [(s, -1) for s in sentences(swapped)]
+                    self.rows.append((q, swapped, DEFECTS.index("wrong_language")))
+            if self.chance(2):
+                gone = self.pick(EMPTIED)
+                if gone.strip():
+                    gone = self.pick(WRAPS).format(self.pick([gone, gone, gone.upper(), gone.capitalize()]))
+                self.units += [(s, 0) for s in sentences(gone)]
+                self.rows.append((q, gone, DEFECTS.index("empty")))
+
+
+def _descend(weights: np.ndarray, bias: np.ndarray, columns: list[int], grams: np.ndarray, starts: np.ndarray, x: np.ndarray, labels: np.ndarray, passes: int = 14) -> None:
+    """Logistic regression of ``columns`` by AdaGrad over hashed and dense features, in place."""
+    rng = np.random.default_rng(4)
+    n = len(starts)
+    size = np.diff(np.append(starts, len(grams)))
+    scale = 1 / np.sqrt(size)[:, None]
+    w, g = np.zeros((len(weights), len(columns))), np.full((len(weights), len(columns)), 1e-2)
+    b, gb = np.full(len(columns), -2.0), np.full(len(columns), 1e-2)
+    for _ in range(passes):
+        for batch in np.array_split(rng.permutation(n), max(1, n // 256)):
+            own = size[batch]
+            at = grams[np.repeat(starts[batch], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)]
+            z = np.add.reduceat(w[at], np.cumsum(own) - own) * scale[batch] + x[batch] @ w[HASHED:] + b
+            error = (_probability(z) - labels[batch]) / len(batch)
+            used, place = np.unique(at, return_inverse=True)
+            grad = np.zeros((len(used), len(columns)))
+            np.add.at(grad, place, np.repeat(error * scale[batch], own, axis=0))
+            grad += 5e-5 * w[used]
+            g[used] += grad * grad
+            w[used] -= 0.3 * grad / np.sqrt(g[used])
+            grad = x[batch].T @ error + 2e-5 * w[HASHED:]
+            g[HASHED:] += grad * grad
+            w[HASHED:] -= 0.3 * grad / np.sqrt(g[HASHED:])
+            gb += error.sum(0) ** 2
+            b -= 0.3 * error.sum(0) / np.sqrt(gb)
+    weights[:, columns], bias[columns] = w, b
+
+
+def _threshold(given: np.ndarray, labels: np.ndarray) -> float:
+    """The threshold with the best F1 on held-out synthetic examples, in the middle of its plateau."""
+    steps = np.linspace(0.05, 0.95, 91)
+    f1 = [2 * ((given >= t) & labels).sum() / max(1, (given >= t).sum() + labels.sum()) for t in steps]
+    best = steps[np.array(f1) >= max(f1) - 2e-3]
+    return float(best[len(best) // 2])
 
 
 def pairs(queries: DataFrame, predictions: DataFrame) -> DataFrame:
-    """(field, pair_key, query, response) of both tables, repeated rows once."""
+    """(field, pair_key, query, response, tail) of both tables; tail is the last word of a response that doesn't end its sentence."""
     a = queries.select(F.lit("answer").alias("field"), F.col("example_id").alias("pair_key"), "query", F.col("answer").alias("response"))
     b = predictions.select(F.lit("prediction").alias("field"), F.col("prediction_id").alias("pair_key"), "query", F.col("prediction").alias("response"))
-    return a.unionAll(b).where(F.col("pair_key").isNotNull()).distinct()
+    return a.unionAll(b).where(F.col("pair_key").isNotNull()).withColumn("tail", _tail(F.col("response")))
 
 
-def _known_words(data: DataFrame) -> np.ndarray:
-    """Which word buckets hold words that stand in several different texts, over all pairs."""
-    text = F.lower(F.concat_ws(" ", F.regexp_replace("response", r"\S+\s*$", ""), "query"))
-    words = data.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)([\p{L}]+)"), F.lit(1)))).alias("word"))
-    buckets = words.groupBy("word").count().where("count >= 3").select("word")
+def _tail(response: Column) -> Column:
+    found = F.lower(F.regexp_extract(response, _TAIL, 1))
+    return F.when(found != "", found)
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = np.zeros(WORD_BUCKETS, dtype=bool)
-        for batch in batches:
-            found[[_bucket(w, WORD_BUCKETS) for w in batch["word"]]] = True
-        yield pd.DataFrame({"bucket": np.flatnonzero(found).astype(np.int32)})
 
-    known = np.zeros(WORD_BUCKETS, dtype=bool)
-    known[buckets.mapInPandas(hashed, "bucket int").distinct().toPandas()["bucket"].to_numpy(np.int64)] = True  # WORD_BUCKETS rows at most
-    return known
+def known_words(data: DataFrame) -> DataFrame:
+    """(word): the words that stand in KNOWN_FROM texts or more, counted over all pairs and without the last word of a response."""
+    text = F.lower(F.concat_ws(" ", F.regexp_replace("response", r"\S+\s*$", ""), "query"))
+    words = data.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\p{L}]+)"), F.lit(1)))).alias("word"))
+    return words.groupBy("word").count().where(F.col("count") >= KNOWN_FROM).select("word")
 
 
-def train(data: DataFrame, sample: int = TRAINING_PAIRS, seed: int = 4) -> Model:
+def train(data: DataFrame, known: DataFrame, sample: int = TRAINING_PAIRS, seed: int = 4) -> Model:
     """Fit the classifier on at most ``sample`` different pairs, chosen by hash, and calibrate its thresholds.
 
-    A fifth of the synthetic pairs is held out for the thresholds. Without any
-    usable pair the model is fitted on the built-in patterns alone.
+    A fifth of the synthetic examples is held out for the thresholds. Without
+    any usable pair it is fitted on the built-in parts alone.
     """
-    known = _known_words(data)
-    chosen = (
-        data.where(F.length("response") > 0).select("query", "response").where(F.col("query").isNotNull()).distinct()
-        .orderBy(F.xxhash64("query", "response"), "query", "response").limit(sample).toPandas()
-    )
+    usable = data.where((F.length("response") > 0) & F.col("query").isNotNull()).withColumn("h", F.xxhash64("query", "response"))
+    least = usable.select("h").distinct().orderBy("h").limit(sample)
+    chosen = usable.join(F.broadcast(least), "h", "left_semi").groupBy("h", "query", "response").count().toPandas().sort_values(["h", "query", "response"])[:sample]
     given = list(zip(chosen["query"], chosen["response"])) or [
         ("What was decided on the plan?", "They decided to keep the plan of Anna."), ("Que pensait Anna du plan ?", "Anna pensait que le plan était trop cher et qu'il fallait attendre."),
     ]
-    made = _synthetic(given, seed)
-    rows = [features(q, r, known) for q, r, _ in made]
-    labels = np.zeros((len(made), len(DEFECTS)))
-    for i, (_, _, own) in enumerate(made):
-        labels[i, list(own)] = 1
-    held = np.arange(len(made)) % 5 == 0
-    fit = np.flatnonzero(~held)
-    weights, bias = _fit([rows[i] for i in fit], labels[fit])
-    model = Model(weights, bias, np.full(len(DEFECTS), 0.5), known)
-    model.thresholds = _thresholds(judged(model, [made[i][:2] for i in np.flatnonzero(held)]), labels[held])
-    return model
+    made = _Maker(given, seed)
+    made.make()
+    rows = made.rows or [(q, r, -1) for q, r in given]
+    units = made.units or [(r, 0) for _, r in given]
+    spark = data.sparkSession
+    tails = {m[0].lower() for m in (_LETTERS.search(r.rstrip()[::-1]) for _, r, _ in rows) if m} and {r.rstrip().lower() for _, r, _ in rows}
+    tails = sorted({m[1] for m in (re.search(r"([^\W\d_]+)$", t) for t in tails) if m})  # one a synthetic row at most
+    whole = set()
+    if tails:
+        asked = spark.createDataFrame([(t,) for t in tails], "word string")
+        whole = {r[0] for r in known.join(F.broadcast(asked), "word", "left_semi").collect()}
+    tail_of = lambda r: (re.search(r"([^\W\d_]+)$", r.rstrip().lower()) or [None, None])[1]
+    weights, bias = np.zeros((HASHED + DENSE, len(DEFECTS))), np.full(len(DEFECTS), -2.0)
+    x = np.array([dense(q, r, tail_of(r) in whole) for q, r, _ in rows], dtype=float)
+    own = [k for k in range(len(DEFECTS)) if k != REFUSAL]
+    labels = np.zeros((len(rows), len(DEFECTS)))
+    for i, (_, _, k) in enumerate(rows):
+        if k >= 0:
+            labels[i, k] = 1
+
+    def part(examples, chosen: np.ndarray):
+        return _grams([examples[i] for i in chosen])
+
+    def fit(examples: list[list[int]], columns: list[int], x: np.ndarray, labels: np.ndarray) -> None:
+        held = np.arange(len(examples)) % 5 == 0
+        use, rest = np.flatnonzero(~held), np.flatnonzero(held)
+        if len(use):
+            _descend(weights, bias, columns, *part(examples, use), x[use], labels[use][:, columns])
+        found = _probability(_summed(weights, *part(examples, rest)) + x[rest] @ weights[HASHED:] + bias)
+        for k in columns:
+            thresholds[k] = _threshold(found[:, k], labels[rest, k] > 0)
+
+    thresholds = np.full(len(DEFECTS), 0.5)
+    fit([_parts(shown(r)) for _, r, _ in rows], own, x, labels)
+    # the corpus holds refusals itself: sentences that the first fit takes for one are left out of the second
+    parts, seen = [(_parts(_said(shown(u))), k) for u, k in units], Counter()
+    units = []
+    for p, k in parts:
+        seen[tuple(p), k] += 1
+        if k >= 0 or seen[tuple(p), k] <= ALIKE:
+            units.append((p, k))
+    for _ in range(2):
+        said, none = np.zeros((len(units), len(DEFECTS))), np.zeros((len(units), DENSE))
+        said[:, REFUSAL] = [k > 0 for _, k in units]
+        parts = [p for p, _ in units]
+        fit(parts, [REFUSAL], none, said)
+        likely = _probability(_summed(weights, *_grams(parts)) + bias)[:, REFUSAL]
+        units = [u for u, p in zip(units, likely) if u[1] >= 0 or p < UNSURE]
+    return Model(weights, bias, thresholds)
 
 
 def flagged(data: DataFrame, model: Model) -> DataFrame:
     """(field, pair_key, defect) of each pair with a score above a threshold; at most one defect each.
 
-    A null response is empty. Every pair of ``data`` is scored.
+    ``data`` has field, pair_key, query, response and tail_known. Every pair is scored.
     """
     sent = data.sparkSession.sparkContext.broadcast(model)
 
@@ -378,19 +567,25 @@ def flagged(data: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            passed = judged(own, list(zip(batch["query"], batch["response"]))) >= own.thresholds
-            passed[:, 0] |= np.array([r is None or r != r for r in batch["response"]], dtype=bool)
-            first = [next((DEFECTS[k] for k in order if p[k]), None) for p in passed]
-            out = batch[["field", "pair_key"]].assign(defect=first)
+            text = lambda x: x if isinstance(x, str) else None
+            passed = scores(own, [(text(q), text(r), bool(k)) for q, r, k in zip(batch["query"], batch["response"], batch["tail_known"])]) >= own.thresholds
+            found = np.array([*DEFECTS, None], dtype=object)[np.where(passed[:, order].any(1), np.array(order)[passed[:, order].argmax(1)], len(DEFECTS))]
+            out = batch[["field", "pair_key"]].assign(defect=found)
             yield out[out["defect"].notna()]
 
-    return data.mapInPandas(scan, "field string, pair_key string, defect string")
+    return data.select("field", "pair_key", "query", "response", "tail_known").mapInPandas(scan, "field string, pair_key string, defect string")
 
 
 def p4_found(queries: DataFrame, predictions: DataFrame) -> DataFrame:
     """(field, pair_key, defect) of each broken pair.
 
-    Empty tables give no rows; pairs with a null key are left out.
+    A null query or response counts as an empty text. Repeated rows give one
+    row. Empty tables give no rows; pairs with a null key are left out.
     """
     data = pairs(queries, predictions)
-    return flagged(data, train(data)).distinct()
+    known = written(known_words(data), "known")
+    model = train(data, known)
+    # only unfinished responses ask for their last word; the others don't take part in the join
+    open_ended = data.where(F.col("tail").isNotNull()).join(known.withColumnRenamed("word", "tail").withColumn("found", F.lit(True)), "tail", "left")
+    asked = open_ended.withColumn("tail_known", F.coalesce("found", F.lit(False))).drop("found").unionByName(data.where(F.col("tail").isNull()).withColumn("tail_known", F.lit(False)))
+    return flagged(asked, model).distinct()

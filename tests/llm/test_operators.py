@@ -234,11 +234,46 @@ def test_p4_refusal_behind_long_lead_in(spark):
     assert {k: x for k, x in found.items() if k[0] in "rg"} == {f"r{k}": "refusal" for k in range(12)}
 
 
+#: Refusals and fine answers worded by hand, with words and turns that the module's parts don't hold.
+OTHER_REFUSALS = [
+    "I have nothing to say about this.", "Answering this is something I won't do.", "That's not a thing I can go along with, I'm afraid.", "My apologies, I can't tell you that.", "I really cannot say.",
+    "I don't think I should respond to that one.", "It's against my policy to answer this.", "I'd better not talk about that.", "I can't give you any answer, sorry.", "I shall not answer that question.",
+    "Forgive me, but I am not able to tell you.", "I am in no position to comment on this.", "I can't be of any help here.", "Sorry, this isn't something I can answer.", "I'm going to have to pass on this question.",
+    "No, I won't discuss this with you.", "I have been told not to answer such questions.", "I am not the right one to answer this, so I won't.", "I choose not to answer.", "I cannot in good conscience respond to this request.",
+]
+OTHER_FINE = [
+    "Marn would not lend Bask the keys.", "The supplier turned down the offer of Solk.", "Darn had no wish to see the logo again.", "Nest told everyone that she could not come on Monday.", "The board rejected the tariff twice.",
+    "It remained unclear whether the ward opens in May.", "They never came to a conclusion about the bridge.", "Zolk apologised for the late roster.", "Bask asked for help with the valve, but nobody had time.", "The answer of Marn was no.",
+    "According to Nest, the bridge can't carry the trucks.", "Solk was sorry about the delay of the logo.", "The ward was not able to take more people.", "Because of the rain, Darn did not test the valve.", "Both sides refuse the new tariff.",
+    "Nobody objected to the roster.", "Zolk kept saying \"c'est la vie\" about the tariff.", "The vote on the bridge ended without a result.", "Bask can't stand the logo.", "Marn thought the question of the ward was not for her to decide.",
+]
+
+
+def test_p4_other_wordings(spark):
+    rng = random.Random(11)
+    things, names = ["valve", "tariff", "roster", "ward", "bridge", "logo"], ["Bask", "Zolk", "Nest", "Darn", "Solk", "Marn"]
+    base = []
+    for k in range(600):
+        rng.seed(k)
+        given = {"a": rng.choice(things), "n": rng.choice(names), "m": rng.choice(names)}
+        base.append((f"e{k}", GOOD[k % 4][0].format(**given), GOOD[k % 4][1].format(**given)))
+    q = base[0][1]
+    own = [(f"r{k}", q, t) for k, t in enumerate(OTHER_REFUSALS)] + [(f"g{k}", q, t) for k, t in enumerate(OTHER_FINE)]
+    queries = spark.createDataFrame(base + own, "example_id string, query string, answer string")
+    predictions = spark.createDataFrame([], "prediction_id string, query string, prediction string")
+    found = {k: x for _, k, x in rows(defects.p4_found(queries, predictions))}
+    hit = [k for k in range(len(OTHER_REFUSALS)) if found.get(f"r{k}") == "refusal"]
+    wrong = [k for k in range(len(OTHER_FINE)) if f"g{k}" in found]
+    print("refusals found", len(hit), "of", len(OTHER_REFUSALS), "missed", [OTHER_REFUSALS[k] for k in range(20) if k not in hit])
+    print("fine answers flagged", [(OTHER_FINE[k], found[f"g{k}"]) for k in wrong])
+    assert len(hit) >= 12 and len(wrong) <= 3
+
+
 def test_p4_sentences():
     assert defects.sentences('Nest said "No. I can\'t." to Bask. It costs 1.5 euro... I must decline! Why?') == [
         'Nest said "No. I can\'t." to Bask.', "It costs 1.5 euro...", "I must decline!", "Why?",
     ]
-    assert defects.sentences("One.") == defects.sentences(None) == []
+    assert defects.sentences("One.") == ["One."] and defects.sentences(None) == defects.sentences(" ...") == []
 
 
 # 5 --------------------------------------------------------------------------
