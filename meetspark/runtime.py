@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _SHIPPED: set[str] = set()
+#: application -> its folder for tables between stages.
+_FOLDERS: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,27 +35,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it.
+    """This application's part of the folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Where ``spark.checkpoint.dir`` is unset (tests on one machine) a temporary
-    folder is set once for the session.
+    Where that is unset a temporary folder is made for the session, on a local
+    master only; a cluster without a shared folder is refused. What was written
+    there is deleted when Python ends.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meetspark-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    context = spark.sparkContext
+    if context.applicationId not in _FOLDERS:
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        folder = f"{(named or tempfile.mkdtemp(prefix='meetspark-')).rstrip('/')}/meetspark-{context.applicationId}"
+        _FOLDERS[context.applicationId] = folder
+        atexit.register(_delete, spark, folder)
+    return _FOLDERS[context.applicationId]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies; nothing happens if the session has ended on a shared file system."""
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001
+        if "://" not in path or path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -61,6 +69,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     let later stages read single columns.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._meetspark_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once nothing will read them any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._meetspark_path)
