@@ -6,18 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from meetspark.llm import looks
+from meetspark.runtime import written
 
 #: Words in a window.
 SPAN = 13
 #: Spaced seeds: 1 is hashed, 0 is ignored. A window with substitutions at ignored places only still hits.
 MASKS = ("1101101101011", "1011011011101")
-#: Bits of the prefilter that goes to every executor: 2 MB whatever the number of items.
-SLOT_BITS = 24
-#: Item windows up to which the prefilter is made; beyond, all corpus windows go to the join.
-PREFILTER_WINDOWS = 2_000_000
+#: Bits of the prefilter for each item hash, and of one filter at most (16 MB). More item hashes
+#: than fit one filter are parted by their upper bits, and each part has its own scan and filter.
+BITS_A_HASH, SHARD_BITS = 256, 1 << 27
+#: A corpus window goes to one of so many parts of the join, the item windows to each, so no window is hot.
+SALTS = 8
+#: Least share of equal words of a stretch that counts as nearly the same.
+NEAR_SHARE = (4, 5)
 #: Characters handled at once, which bounds a worker's memory.
 CHUNK = 400_000
 
@@ -103,16 +107,26 @@ def _chunks(keys: list[int], texts: list[str | None]) -> Iterator[tuple[list[int
         yield ks, bases, ts
 
 
-def _hash_windows(batches: Iterator[pa.RecordBatch], allowed: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    slots = None if allowed is None else np.unpackbits(allowed).astype(bool)
-    low = np.uint64((1 << SLOT_BITS) - 1)
+class Filter:
+    """A bitmap of the item hashes of one part: ``part`` of ``parts``, by the upper bits of a hash."""
+
+    def __init__(self, bits: np.ndarray, size: int, part: int, parts: int) -> None:
+        self.bits, self.size, self.part, self.parts = bits, size, part, parts
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes & np.uint64(self.size - 1)
+        met = (self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+        return met if self.parts == 1 else met & ((hashes >> np.uint64(40)) % np.uint64(self.parts) == np.uint64(self.part))
+
+
+def _hash_windows(batches: Iterator[pa.RecordBatch], allowed: Filter | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for keys, bases, texts in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             text, at, hashes, starts, ends, whole = _windows(texts)
-            if slots is None:
+            if allowed is None:
                 hit = np.arange(len(at))
             else:
-                hit = np.flatnonzero(np.logical_or.reduce([slots[h & low] for h in hashes])) if len(at) else at
+                hit = np.flatnonzero(np.logical_or.reduce([allowed.holds(h) for h in hashes])) if len(at) else at
             if not len(hit):
                 continue
             first = np.searchsorted(text, text[hit])
@@ -128,7 +142,7 @@ def _hash_windows(batches: Iterator[pa.RecordBatch], allowed: np.ndarray | None)
             )
 
 
-def windows(texts: DataFrame, key: str, allowed: np.ndarray | None = None) -> DataFrame:
+def windows(texts: DataFrame, key: str, allowed: Filter | None = None) -> DataFrame:
     """One row per window of SPAN words of ``text``; with ``allowed`` only those that may hit.
 
     Null, empty and shorter texts have no windows.
@@ -138,43 +152,83 @@ def windows(texts: DataFrame, key: str, allowed: np.ndarray | None = None) -> Da
     return chosen.mapInArrow(lambda batches: _hash_windows(batches, sent.value), WINDOWS)
 
 
-def _prefilter(items: DataFrame) -> np.ndarray | None:
-    """A bitmap of fixed size with a bit for each item hash; None if there are too many items."""
-    hashes = items.select(F.explode("hashes").alias("h")).select(F.col("h").bitwiseAND((1 << SLOT_BITS) - 1).cast("int").alias("slot"))
-    if items.count() > PREFILTER_WINDOWS:
-        return None
-    bits = np.zeros(1 << SLOT_BITS, dtype=bool)
-    bits[hashes.distinct().toPandas()["slot"].to_numpy(dtype=np.int64)] = True
-    return np.packbits(bits)
+def _filters(items: DataFrame, shard_bits: int = SHARD_BITS) -> Iterator[Filter]:
+    """Filters that hold every item hash together; each takes shard_bits / BITS_A_HASH hashes on average."""
+    total = items.count() * len(MASKS)
+    parts = max(1, -(-total * BITS_A_HASH // shard_bits))
+    size = min(shard_bits, 1 << max(20, (total * BITS_A_HASH // parts).bit_length()))
+    own = items.select(F.explode("hashes").alias("h")).select(
+        F.col("h").bitwiseAND(size - 1).cast("int").alias("slot"), F.expr(f"CAST(shiftrightunsigned(h, 40) % {parts} AS INT)").alias("part")
+    ).distinct()
+    for part in range(parts):
+        bits = np.zeros(size, dtype=bool)
+        bits[own.where(F.col("part") == part).select("slot").toPandas()["slot"].to_numpy(dtype=np.int64)] = True
+        yield Filter(np.packbits(bits, bitorder="little"), size, part, parts)
 
 
-def overlaps(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, pos, same_words, exact) of every window pair that hits by a mask.
+def hits(documents: DataFrame, items: DataFrame, shard_bits: int = SHARD_BITS) -> tuple[DataFrame, DataFrame]:
+    """The windows of the corpus that may belong to an item, by (doc_id, pos, words, mask, hash), and those of all items.
 
-    same_words counts equal words at equal places, of SPAN; exact is true where
-    all are equal. The corpus is read once; only windows whose hash may belong
-    to an item leave the scan, and they are joined with the item windows on
-    mask and hash.
+    The items' windows are made once and kept in the shared folder; the corpus
+    is read once for each filter, which is one as long as 250,000 item windows
+    or fewer are given, and only windows that pass leave the scan.
+    """
+    test = written(windows(items, "item_id"), "items")
+    found = None
+    for allowed in _filters(test, shard_bits):
+        own = windows(documents, "doc_id", allowed)
+        found = own if found is None else found.unionAll(own)
+    left = found.select(F.col("key").alias("doc_id"), "pos", "words", F.posexplode("hashes").alias("mask", "hash"))
+    left = left.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    right = test.select(F.col("key").alias("item_id"), F.col("pos").alias("item_pos"), F.col("words").alias("item_words"), F.posexplode("hashes").alias("mask", "hash"))
+    return left, right.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+
+
+def overlaps(documents: DataFrame, items: DataFrame, shard_bits: int = SHARD_BITS) -> DataFrame:
+    """(doc_id, item_id, pos, item_pos, n_words, same_words, exact): stretches of a document that stand in an item, with substitutions.
+
+    Windows that hit by a mask are verified word by word. Hits of a document
+    and an item that lie on one line of places are extended over each other:
+    those that overlap or touch are one stretch of n_words words, of which
+    same_words are equal to the item's at the same place; exact tells whether
+    SPAN of them are so one after another.
     """
-    test = windows(items, "item_id")
-    hits = windows(documents, "doc_id", _prefilter(test))
-    left = hits.select(F.col("key").alias("doc_id"), "pos", "words", F.posexplode("hashes").alias("mask", "hash"))
-    right = test.select(F.col("key").alias("item_id"), F.col("words").alias("item_words"), F.posexplode("hashes").alias("mask", "hash")).distinct()
-    pairs = left.join(right, ["mask", "hash"])
+    left, right = hits(documents, items, shard_bits)
+    pairs = left.join(right, ["salt", "mask", "hash"]).withColumn("line", F.col("pos") - F.col("item_pos"))
+    once = pairs.dropDuplicates(["doc_id", "item_id", "line", "pos"])
     equal = F.zip_with(F.split("words", " "), F.split("item_words", " "), lambda a, b: (a == b).cast("int"))
-    same = F.aggregate(equal, F.lit(0), lambda s, x: s + x)
-    return pairs.select("doc_id", "item_id", "pos", same.alias("same_words"), (F.col("words") == F.col("item_words")).alias("exact")).distinct()
-
-
-def p8_found(documents: DataFrame, items: DataFrame) -> DataFrame:
+    along = Window.partitionBy("doc_id", "item_id", "line").orderBy("pos")
+    step = once.select("doc_id", "item_id", "line", "pos", "item_pos", equal.alias("equal"), (F.col("pos") - F.lag("pos").over(along)).alias("step"))
+    new = F.least(F.coalesce("step", F.lit(SPAN)), F.lit(SPAN))
+    counted = step.withColumn("same", F.aggregate(F.slice("equal", F.lit(SPAN + 1) - new, new), F.lit(0), lambda s, x: s + x))
+    stretch = F.sum((F.coalesce("step", F.lit(SPAN + 1)) > SPAN).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    grouped = counted.withColumn("stretch", stretch).groupBy("doc_id", "item_id", "line", "stretch")
+    return grouped.agg(
+        F.min("pos").alias("pos"), F.min("item_pos").alias("item_pos"), (F.max("pos") - F.min("pos") + SPAN).cast("int").alias("n_words"), F.sum("same").cast("int").alias("same_words"),
+        F.max(F.forall("equal", lambda x: x == 1)).alias("exact"),
+    ).drop("line", "stretch")
+
+
+def p8_found(documents: DataFrame, items: DataFrame, shard_bits: int = SHARD_BITS) -> DataFrame:
     """(doc_id, item_id) where SPAN consecutive words of the item stand in the document.
 
-    Rows with a null id, and texts of fewer than SPAN words, give nothing.
+    Equal windows hit by every mask, so the first one suffices; the words
+    themselves are compared. Rows with a null id, and texts of fewer than SPAN
+    words, give nothing.
     """
-    return overlaps(documents, items).where("exact").select("doc_id", "item_id").distinct()
+    left, right = hits(documents, items, shard_bits)
+    left = left.where("mask = 0").select("salt", "hash", "words", "doc_id").distinct()
+    right = right.where("mask = 0").select("salt", "hash", F.col("item_words").alias("words"), "item_id").distinct()
+    return left.join(right, ["salt", "hash", "words"]).select("doc_id", "item_id").distinct()
 
 
 def p8_leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, n_docs, n_near): documents that hold each leaked item, and those with a hit of substitutions only."""
-    found = overlaps(documents, items).groupBy("item_id", "doc_id").agg(F.max("exact").alias("exact"))
-    return found.groupBy("item_id").agg(F.count_if("exact").alias("n_docs"), F.count_if(~F.col("exact")).alias("n_near"))
+    """(item_id, n_docs, n_near, longest): documents that hold passages of each leaked item.
+
+    n_docs counts documents with SPAN equal words in a row, n_near those with
+    none but a stretch of which at least NEAR_SHARE are equal; longest is the
+    longest stretch of either kind in words. Items without any are left out.
+    """
+    share = F.col("same_words") * NEAR_SHARE[1] >= F.col("n_words") * NEAR_SHARE[0]
+    found = overlaps(documents, items).where(F.col("exact") | share).groupBy("item_id", "doc_id").agg(F.max("exact").alias("exact"), F.max("n_words").alias("longest"))
+    return found.groupBy("item_id").agg(F.count_if("exact").alias("n_docs"), F.count_if(~F.col("exact")).alias("n_near"), F.max("longest").alias("longest"))

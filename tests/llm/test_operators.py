@@ -375,11 +375,24 @@ def test_p8_against_brute_force(spark):
     want = brute.leaks([(d[0], d[1]) for d in docs], [(i[0], i[3]) for i in items])
     got = rows(leak.p8_found(left, right))
     assert set(got) == want and len(got) == len(want) > 10
+    parted = rows(leak.p8_found(left, right, shard_bits=1 << 20))  # more item windows than one filter takes
+    assert parted == got
     near = leak.p8_leaked(left, right).collect()
     assert {r.item_id for r in near if r.n_docs} == {i for _, i in want}
     assert leak.p8_found(left.limit(0), right).count() == 0 and leak.p8_found(left, right.limit(0)).count() == 0
 
 
+def test_p8_extends_hits(spark):
+    said = [f"t{i}" for i in range(40)]
+    other = [*said[:17], "zz", *said[18:]]
+    docs = spark.createDataFrame([(1, "x y " + " ".join(said)), (2, " ".join(other)), (3, " ".join(said[:12])), (4, " ".join([*said[:13], "and", *said[20:40]]))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(said))], "item_id long, text string")
+    found = {(r.doc_id, r.pos, r.item_pos): (r.n_words, r.same_words) for r in leak.overlaps(docs, items).collect()}
+    assert found[1, 2, 0] == (40, 40) and found[2, 0, 0] == (40, 39)
+    assert found[4, 0, 0][1] == 13 and found[4, 14, 20] == (20, 20) and not any(d == 3 for d, _, _ in found)
+    assert [tuple(r) for r in leak.p8_leaked(docs, items).collect()] == [(7, 3, 0, 40)]
+
+
 def test_p8_tolerates_substitutions():
     import numpy as np
 
