@@ -36,6 +36,11 @@ def _block(form: Column) -> Column:
     return F.xxhash64(F.when(F.regexp_like(form, F.lit(r"[^\x00-\x7f]")), _translate(form, looks.bare())).otherwise(form))
 
 
+def text_key(text: Column) -> Column:
+    """A key of 128 bits of a stored text."""
+    return F.unhex(F.md5(text))
+
+
 def classes(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, canonical_id): documents whose class holds different stored texts.
 
@@ -50,7 +55,7 @@ def classes(documents: DataFrame) -> DataFrame:
     are left out; copies of one stored text share its row in step 2 and 3.
     """
     texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    forms = texts.where(F.length("text") > 0).select("doc_id", shown(F.col("text")).alias("form"), F.xxhash64("text").alias("text_hash"))
+    forms = texts.where(F.length("text") > 0).select("doc_id", shown(F.col("text")).alias("form"), text_key(F.col("text")).alias("text_hash"))
     visible = F.regexp_like("form", F.lit(r"(?U)\S"))
     # three numbers a document, kept because each form is costly to make
     keyed = written(forms.select("doc_id", F.when(visible, _block(F.col("form"))).alias("block"), "text_hash"), "keyed").where("block IS NOT NULL")
@@ -58,7 +63,7 @@ def classes(documents: DataFrame) -> DataFrame:
     blocks = variants.groupBy("block").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("block")
     picked = written(variants.join(blocks, "block", "left_semi"), "variants")
     chosen = texts.join(picked, "doc_id").withColumn("form", F.collate(shown(F.col("text")), "UNICODE"))
-    chosen = chosen.where(F.xxhash64("text") == F.col("text_hash")).select("block", "text_hash", "doc_id", "form").dropDuplicates(["block", "text_hash"])
+    chosen = chosen.where(text_key(F.col("text")) == F.col("text_hash")).select("block", "text_hash", "doc_id", "form").dropDuplicates(["block", "text_hash"])
     groups = chosen.groupBy("block", "form").agg(F.min("doc_id").alias("canonical_id"), F.count("*").alias("n")).where("n > 1")
     named = written(chosen.join(groups, ["block", "form"]).select("block", "text_hash", "canonical_id"), "named")
     return keyed.join(named, ["block", "text_hash"]).select("doc_id", "text_hash", "canonical_id")

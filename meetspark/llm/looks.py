@@ -10,7 +10,8 @@ from functools import cache
 PAIRS = (
     "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY ԌG аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw үy ӏl ԚQ ԜW "
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv αa ιi ρp υu γy ϲc ϳj ϹC ͿJ "
-    "օo ոn սu հh ցg ՏS ՕO ᎪA ᏴB ᏟC ᎬE ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ"
+    "օo ոn սu հh ցg ՏS ՕO ᎪA ᏴB ᏟC ᎬE ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ "
+    "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU ɡg ıi ɑa ⅠI ⅤV ⅩX ⅬL ⅭC ⅮD ⅯM ⅰi ⅴv ⅹx ⅼl ⅽc ⅾd ⅿm"
 )
 #: Letters whose capital form looks Latin, for comparisons that ignore case. Fixed values.
 CASELESS = "вb кk мm нh тt βb εe ζz ηh κk μm τt χx ιi"
@@ -51,9 +52,9 @@ def single() -> dict[str, str]:
 def joined() -> dict[str, str]:
     """joined letter -> the letters it is written as."""
     table = {}
-    for code in [*range(0x132, 0x134), *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0xFB00, 0xFB18)]:
+    for code in [*range(0x132, 0x134), *range(0x2160, 0x2180), *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0xFB00, 0xFB18)]:
         tag, _, rest = unicodedata.decomposition(chr(code)).rpartition("> ")
-        if tag == "<compat":
+        if tag == "<compat" and len(rest.split()) > 1:
             table[chr(code)] = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", chr(code)))
     return table
 
