@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from meetspark.operators.intervals import whole_ms
 
 TOLERANCE_MS = 1_500
 #: Width of a tick. A right record is written to (2 * tolerance / tick + 1) ticks at most.
 TICK_MS = 250
 
 
-def whole_ms(seconds: Column) -> Column:
-    """Seconds as whole milliseconds; null for null, NaN and infinite values."""
-    return F.when(~F.isnan(seconds) & (F.abs(seconds) < F.lit(1e15)), F.round(seconds * 1000).cast("long"))
-
-
 def nearest_by_ticks(left: DataFrame, right: DataFrame, tolerance: int = TOLERANCE_MS, tick: int = TICK_MS) -> DataFrame:
     """``left`` (entity, l, ...) with ``r``, the nearest right time of the entity within ``tolerance``.
 

@@ -20,7 +20,7 @@ HESITATIONS = "u+h+m*|u+m+|e+r+m*|e+h+m*|a+h+m*|h+m+|m+h+m+|m{2,}|m+-h+m+|u+h+-(
 NOISE = (
     r"(?:\s|\G)(?i:" + HESITATIONS + r")[.,!?;:…]*(?=$|[\s\[({<*])"
     r"|[\[(]\s*(?:" + TIME + r"|(?i:" + SOUNDS + r")(?:\s+" + TIME + r")?)\s*[\])]"
-    r"|<[^<>\n]{0,60}>|\{[^{}\n]{0,60}\}|\*[^*\s][^*\n]{0,40}\*|\(\([^()\n]{0,60}\)\)"
+    r"|<[^<>\n]*+>|\{[^{}\n]*+\}|\*[^*\s][^*\n]*+\*|\(\([^()\n]*+\)\)"
 )
 WORD = r"[A-Za-z0-9\p{L}\p{N}]\S*"
 UNKNOWN = ["unknown", "unknown speaker", "unidentified", "unidentified speaker", "speaker_unknown", "???", "??", "?"]
@@ -61,13 +61,13 @@ def lines(records: DataFrame) -> DataFrame:
     ).otherwise(text)
     # the text itself isn't carried to its lines
     parted = records.where(F.length("text") > 0).select(
-        "record_kind", "record_key", "meeting_id", F.xxhash64("text").alias("text_key"), F.split(text, "\n").alias("parts")
+        "record_kind", "record_key", "meeting_id", F.unhex(F.md5("text")).alias("text_key"), F.split(text, "\n").alias("parts")
     )
     given = parted.select(*_RECORD, "meeting_id", F.posexplode("parts").alias("pos", "line"))
     line = F.col("line")
     mark = F.regexp_extract(line, r"^\s*(" + MARK + ")", 1)
     label = F.regexp_extract(line, _LINE, 1)
-    stripped = given.withColumn("mark", F.regexp_replace(mark, r"[\[\](<>)\s]", "")).withColumn("label", F.when(F.length(label) <= 80, label).otherwise(""))
+    stripped = given.withColumn("mark", F.regexp_replace(mark, r"[\[\](<>)\s]", "")).withColumn("label", label)
     behind = F.when(F.col("label") != "", F.regexp_extract(line, _LINE, 2)).otherwise(F.regexp_replace(line, r"^\s*" + MARK, ""))
     return stripped.select(
         *_RECORD, "meeting_id", "pos",

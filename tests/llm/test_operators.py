@@ -16,7 +16,7 @@ from conftest import rows  # noqa: E402
 
 from meetspark.llm import crosssplit, defects, encoding, leak, lookalike, looks, nearest, splitting, turns  # noqa: E402
 
-LIMITS = [("product", 100, 20), ("default", 60, 10), ("tight", 5, 9)]
+LIMITS = [("product", 100, 20), ("default", 60, 10), ("tight", 5, 4)]
 
 
 @pytest.fixture(scope="module")
@@ -68,7 +68,8 @@ def test_p1_random_texts():
     rng = random.Random(2)
     for _ in range(60):
         text = "".join(rng.choice(["word", " ", ". ", "\n", "longer", "?", "̈", "x" * 40]) for _ in range(rng.randrange(1, 200)))
-        limit, overlap = rng.randrange(3, 120), rng.randrange(0, 60)
+        limit = rng.randrange(3, 120)
+        overlap = rng.randrange(0, limit)
         level, pieces = splitting.bisect_text(text, limit, overlap)
         assert pieces[0][1] == 0 and pieces[-1][2] == len(text)
         assert all(a[2] == b[1] for a, b in zip(pieces, pieces[1:]))
@@ -78,6 +79,18 @@ def test_p1_random_texts():
             assert level == "line"
 
 
+def test_p1_overlaps_and_marks():
+    text = "".join(chr(97 + i % 26) for i in range(100))
+    for overlap in (0, 5, 6, 9):  # up to one below the limit
+        _, pieces = splitting.bisect_text(text, 10, overlap)
+        assert all(e - s <= 10 for s, _, e, _ in pieces) and all(b[1] - b[0] == min(overlap, b[1] - a[1]) for a, b in zip(pieces, pieces[1:]))
+    with pytest.raises(ValueError):
+        splitting.bisect_text(text, 10, 10)
+    marked = "a" + "\u0301" * 40 + "b" + "\u0301" * 40  # a character and forty marks
+    _, pieces = splitting.bisect_text(marked, 60, 0)
+    assert [p[1] for p in pieces] == [0, 41]
+
+
 def test_p1_very_long_text():
     level, pieces = splitting.bisect_text("Some words here. " * 60_000, 5000, 200)
     assert level == "sentence" and all(e - s <= 5000 for s, _, e, _ in pieces)
