@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meetspark.llm.turns import HESITATIONS, SOUNDS, TIME
+from meetspark.llm.turns import BEHIND, HESITATIONS, NUMBER, PLAIN_ROLE, ROLE, SOUNDS, SWAPPED, TIME, UNKNOWN, roster_keys
 from meetspark.runtime import written
 
 #: Least share of the longer transcript's words that stand in the same order in the other.
@@ -22,13 +24,16 @@ BUCKETS = 1 << 12
 #: Words of one side that one task holds at a time, and texts it compares at a time. They bound memory only.
 CHUNK_WORDS, BLOCK = 4_000_000, 1024
 
+#: Parts that a meeting's records are spread over for the join with its roster.
+SALTS = 8
+
 # Each pattern starts with a literal or a set of characters, which lets the search skip ahead.
 _NOISE = re.compile(
-    r"[(\[{<*](?:(?<=\{)[^{}\n]{0,60}\}|(?<=<)[^<>\n]{0,60}>|(?<=\*)[^*\s][^*\n]{0,40}\*|(?<=\()\([^()\n]{0,60}\)\)"
+    r"[(\[{<*](?:(?<=\{)[^{}\n]*+\}|(?<=<)[^<>\n]*+>|(?<=\*)[^*\s][^*\n]*+\*|(?<=\()\([^()\n]*+\)\)"
     r"|(?<=[(\[])\s*(?:%s|(?:%s)(?:\s+%s)?)\s*[\])])" % (TIME, SOUNDS, TIME)
 )
 _LINE = re.compile(
-    r"\n(?:\d+[ \t]*\r?\n[^\n]*-->[^\n]*|[ \t]*(?:\d{1,3}:\d\d:\d\d(?:[.,]\d{1,3})?\s(?:\s*-\s)?)?[ \t]*(?:(?:\w\. )?(?:[^:\n.?!]{1,60}|\?+)[ \t]*:(?!\d))?)"
+    r"\n(?:\d+[ \t]*\r?\n[^\n]*-->[^\n]*|[ \t]*(?:\d{1,3}:\d\d:\d\d(?:[.,]\d{1,3})?\s(?:\s*-\s)?)?[ \t]*(?:((?:[^:\n<\[({]++|\[[^\]:\n]*+\]|\([^):\n]*+\))++):)?)"
 )
 _INLINE = re.compile(r"speaker_\d+ *:")
 _PLAIN = re.compile(r"[a-z0-9]+(?:'[a-z0-9]+)*")
@@ -47,9 +52,32 @@ class _Ids(dict):
         return found
 
 
-def spoken_words(text: str, ids: dict[str, int]) -> np.ndarray:
-    """Ids of the spoken words in order, without layout, labels, times, hesitations, sounds, case and punctuation."""
-    bare = _INLINE.sub(" ", _LINE.sub("\n", _NOISE.sub(" ", "\n" + text.lower())))
+@lru_cache(50_000)
+def _label_key(label: str) -> str:
+    """A label in lower case, reduced to the part that names somebody, as in turns.label_key."""
+    name = " ".join(label.split())
+    if found := re.search(NUMBER, name):
+        return f"speaker_{int(found[1]):02d}"
+    for pattern in (ROLE, PLAIN_ROLE, BEHIND):
+        if found := re.search(pattern, name):
+            return found[1]
+    return re.sub(SWAPPED, r"\2 \1", name)
+
+
+def spoken_words(text: str, ids: dict[str, int], names: frozenset[str] = frozenset()) -> np.ndarray:
+    """Ids of the spoken words in order, without layout, labels, times, hesitations, sounds, case and punctuation.
+
+    Text before a colon is a label if it is one of ``names``, the keys of the
+    meeting's roster, or marks an unknown speaker; else it is spoken.
+    """
+
+    def begun(line: re.Match) -> str:
+        label = line[1]
+        if label is None or " ".join(label.split()) in UNKNOWN or _label_key(label) in names:
+            return "\n"
+        return f"\n{label} "
+
+    bare = _INLINE.sub(" ", _LINE.sub(begun, _NOISE.sub(" ", "\n" + text.lower())))
     words = (_PLAIN if bare.isascii() else _WORD).findall(bare)
     found = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
     return found[found != 0]
@@ -61,31 +89,39 @@ def split_name(split: Column) -> Column:
     return F.when(name == "val", "validation").when(name.isin("train", "validation", "test"), name)
 
 
-def word_sequences(meetings: DataFrame) -> DataFrame:
+def word_sequences(meetings: DataFrame, roster: DataFrame) -> DataFrame:
     """(record_id, split, source, n, text_key, words) of each record with a split and at least one word.
 
-    text_key is equal for equal word sequences. The table is kept in the shared
+    text_key, of 128 bits, is equal for equal word sequences. Records meet the
+    names of their meeting's roster by a join that is spread over SALTS parts,
+    so a meeting with many records isn't hot. The table is kept in the shared
     folder, as several stages read it.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids()
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            found = [spoken_words(t or "", ids) for t in texts]
-            keys = [zlib.crc32(w.tobytes()) << 31 ^ zlib.adler32(w.tobytes()[::-1]) for w in found]
+            texts, names = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            found = [spoken_words(t or "", ids, frozenset(k or ())) for t, k in zip(texts, names)]
+            keys = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in found]
             offsets = np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int32)
             words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([len(w) for w in found], pa.int32()), pa.array(keys, pa.int64()), words],
+                [*batch.columns[:3], pa.array([len(w) for w in found], pa.int32()), pa.array(keys, pa.binary()), words],
                 names=["record_id", "split", "source", "n", "text_key", "words"],
             )
 
-    chosen = meetings.select("record_id", split_name(F.col("split")).alias("split"), "source", "transcript").where(
+    chosen = meetings.select("record_id", split_name(F.col("split")).alias("split"), "source", "transcript", "meeting_id").where(
         F.col("record_id").isNotNull() & F.col("split").isNotNull() & F.col("transcript").isNotNull()
     )
-    schema = "record_id long, split string, source string, n int, text_key long, words array<int>"
-    return written(chosen.mapInArrow(parse, schema).where("n > 0"), "words")
+    # a record without a meeting has no roster; its own key keeps such records apart
+    place = F.coalesce("meeting_id", F.concat(F.lit("\n"), F.col("record_id").cast("string")))
+    spread = chosen.withColumn("place", place).withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
+    named = roster_keys(roster).groupBy(F.col("meeting_id").alias("place")).agg(F.collect_set("key").alias("names"))
+    named = named.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    both = spread.join(named, ["place", "salt"], "left").select("record_id", "split", "source", "transcript", "names")
+    schema = "record_id long, split string, source string, n int, text_key binary, words array<int>"
+    return written(both.mapInArrow(parse, schema).where("n > 0"), "words")
 
 
 def _side() -> Column:
@@ -143,13 +179,14 @@ def _compared(left: pa.Table, right: pa.Table) -> pa.Table:
     dot product of the counts' roots. Buckets only raise both.
     """
 
-    def by_length(table: pa.Table, side: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    def by_length(table: pa.Table, side: int) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
         own = [w for batch in table.to_batches() for w in _arrays(batch, f"words_{side}")]
         n = np.array([len(w) for w in own], dtype=np.int64)
         order = np.argsort(n, kind="stable")
-        return [own[k] for k in order], n[order], table.column(f"text_key_{side}").to_numpy()[order]
+        keys = table.column(f"text_key_{side}").to_pylist()
+        return [own[k] for k in order], n[order], [keys[k] for k in order]
 
-    found: list[tuple[int, int]] = []
+    found: list[tuple[bytes, bytes]] = []
     (ta, na, ka), (tb, nb, kb) = by_length(left, 0), by_length(right, 1)
     for i in range(0, len(ta), BLOCK):
         ca, la = None, na[i : i + BLOCK]
@@ -167,7 +204,7 @@ def _compared(left: pa.Table, right: pa.Table) -> pa.Table:
                 if np.minimum(ca[x], cb[y]).sum() >= least[x, y] and common_in_order(ta[i + x], tb[j + y], int(least[x, y])):
                     found.append((ka[i + x], kb[j + y]))
     a, b = zip(*found) if found else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
 def similar_texts(words: DataFrame) -> DataFrame:
@@ -198,15 +235,15 @@ def similar_texts(words: DataFrame) -> DataFrame:
         own = named.select("cell", F.col(f"size_{side}").alias("size"), F.col(f"chunk_{side}").alias("chunk"))
         return spread.where(F.col("side") == side).join(F.broadcast(own), ["size", "chunk"]).select(*[F.col(c).alias(f"{c}_{side}") for c in ("cell", "text_key", "words")]).groupBy(f"cell_{side}")
 
-    return chunks(0).cogroup(chunks(1)).applyInArrow(_compared, "a long, b long").distinct()
+    return chunks(0).cogroup(chunks(1)).applyInArrow(_compared, "a binary, b binary").distinct()
 
 
-def p3_found(meetings: DataFrame) -> DataFrame:
+def p3_found(meetings: DataFrame, roster: DataFrame) -> DataFrame:
     """(record_id_a, record_id_b): every pair of a train and a held-out record with the same or nearly the same transcript.
 
     Null ids, splits and transcripts and transcripts without words take no part.
     """
-    words = word_sequences(meetings)
+    words = word_sequences(meetings, roster)
     pairs = written(similar_texts(words), "similar")
     left = words.where(_side() == 0).select(F.col("text_key").alias("a"), F.col("record_id").alias("x"))
     right = words.where(_side() == 1).select(F.col("text_key").alias("b"), F.col("record_id").alias("y"))
@@ -214,12 +251,12 @@ def p3_found(meetings: DataFrame) -> DataFrame:
     return found.select(F.least("x", "y").alias("record_id_a"), F.greatest("x", "y").alias("record_id_b")).distinct()
 
 
-def p3_counts(meetings: DataFrame) -> DataFrame:
+def p3_counts(meetings: DataFrame, roster: DataFrame) -> DataFrame:
     """(split, source, train_source, n_pairs, n_records): overlaps per held-out split and source.
 
     Counted from texts and the number of records that hold them; pairs of records are never listed.
     """
-    words = word_sequences(meetings)
+    words = word_sequences(meetings, roster)
     pairs = similar_texts(words)
     held = words.groupBy("text_key", "split", "source").agg(F.count("*").alias("n"))
     left = held.where("split = 'train'").select(F.col("text_key").alias("a"), F.col("source").alias("train_source"), F.col("n").alias("n_train"))

@@ -8,8 +8,8 @@ from meetspark.runtime import table
 QUERIES = {
     "p1_found": lambda s, d: splitting.p1_found(table(s, d, "general_meetings"), table(s, d, "chunk_limits")),
     "p1_pieces": lambda s, d: splitting.p1_pieces(table(s, d, "general_meetings"), table(s, d, "chunk_limits")),
-    "p3_found": lambda s, d: crosssplit.p3_found(table(s, d, "general_meetings")),
-    "p3_counts": lambda s, d: crosssplit.p3_counts(table(s, d, "general_meetings")),
+    "p3_found": lambda s, d: crosssplit.p3_found(table(s, d, "general_meetings"), table(s, d, "speaker_roster")),
+    "p3_counts": lambda s, d: crosssplit.p3_counts(table(s, d, "general_meetings"), table(s, d, "speaker_roster")),
     "p4_found": lambda s, d: defects.p4_found(table(s, d, "specific_queries"), table(s, d, "predictions")),
     "p5_found": lambda s, d: nearest.p5_found(table(s, d, "speaker_segments"), table(s, d, "diarization")),
     "p6_found": lambda s, d: turns.p6_found(table(s, d, "general_meetings"), table(s, d, "specific_queries"), table(s, d, "speaker_roster")),

@@ -77,14 +77,20 @@ def lines(records: DataFrame) -> DataFrame:
     ).where((F.col("label").isNotNull()) | (F.length(F.trim("spoken")) > 0))
 
 
+#: The parts of a label that may name somebody, by form: a number, a role behind a name, a role before initials, what stands
+#: behind a dash; and a name with the surname first.
+NUMBER, ROLE, PLAIN_ROLE, BEHIND = r"(?:^|\[)(?:speaker[ _]|spk|s)(\d{1,3})(?:\]$| \(|$)", r"^[^()]+ \(([^()]{3,})\)$", r"^([^()]{3,}) \([a-z]\)$", r"^[^-]+ - (.+)$"
+SWAPPED = r"^([^,]+), ([^,]+)$"
+
+
 def label_key(label: Column) -> Column:
     """A label reduced to the part that names somebody: SPEAKER_nn, a role, a name or initials."""
     name = _plain(label)
-    number = F.regexp_extract(name, r"(?:^|\[)(?:speaker[ _]|spk|s)(\d{1,3})(?:\]$| \(|$)", 1)
-    role = F.regexp_extract(name, r"^[^()]+ \(([^()]{3,})\)$", 1)
-    plain_role = F.regexp_extract(name, r"^([^()]{3,}) \([a-z]\)$", 1)
-    behind = F.regexp_extract(name, r"^[^-]+ - (.+)$", 1)
-    swapped = F.regexp_replace(name, r"^([^,]+), ([^,]+)$", "$2 $1")
+    number = F.regexp_extract(name, NUMBER, 1)
+    role = F.regexp_extract(name, ROLE, 1)
+    plain_role = F.regexp_extract(name, PLAIN_ROLE, 1)
+    behind = F.regexp_extract(name, BEHIND, 1)
+    swapped = F.regexp_replace(name, SWAPPED, "$2 $1")
     return (
         F.when(number != "", F.format_string("speaker_%02d", F.try_to_number(number, F.lit("999")).cast("int")))
         .when(role != "", role)

@@ -27,8 +27,8 @@ def spoken(text: str) -> list[str]:
     return out
 
 
-def turns(text: str | None, people: list[tuple[str, str, str, str]]) -> list[tuple[str, int]]:
-    """people: (speaker_label, agent, full_name, role)."""
+def said(text: str | None, people: list[tuple[str, str, str, str]], timed: bool = True) -> list[tuple[str, str]]:
+    """(speaker, what is said) in order; people: (speaker_label, agent, full_name, role); timed: in order of time where all lines have one."""
     if not text:
         return []
     names: dict[str, str] = {x: "UNKNOWN" for x in ("unknown", "unknown speaker", "unidentified", "???")}
@@ -70,7 +70,7 @@ def turns(text: str | None, people: list[tuple[str, str, str, str]]) -> list[tup
             found[-1][2] += "\n" + line
         else:
             found.append(["UNKNOWN", at, line])
-    if found and all(at for _, at, _ in found):
+    if timed and found and all(at for _, at, _ in found):
         def seconds(at: str) -> float:
             total = 0.0
             for part in at.replace(",", ".").split(":"):
@@ -78,9 +78,13 @@ def turns(text: str | None, people: list[tuple[str, str, str, str]]) -> list[tup
             return total
 
         found.sort(key=lambda x: seconds(x[1]))
+    return [(who, words) for who, _, words in found]
+
+
+def turns(text: str | None, people: list[tuple[str, str, str, str]]) -> list[tuple[str, int]]:
     out: list[list] = []
-    for who, _, said in found:
-        n = len(spoken(said))
+    for who, words in said(text, people):
+        n = len(spoken(words))
         if n and out and out[-1][0] == who:
             out[-1][1] += n
         elif n:
@@ -105,3 +109,31 @@ def leaks(documents: list[tuple[int, str | None]], items: list[tuple[int, str |
         for k in range(len(w) - span + 1):
             out |= {(d, i) for i in where.get(tuple(w[k : k + span]), ())}
     return out
+
+
+def words_in_order(text: str | None, people: list[tuple[str, str, str, str]]) -> list[str]:
+    """The spoken words as stored, in lower case, without punctuation."""
+    return [w for _, x in said(text, people, timed=False) for token in spoken(x) for w in re.findall(r"[^\W_]+(?:'[^\W_]+)*", token.lower())]
+
+
+def longest_common(x: list[str], y: list[str]) -> int:
+    row = [0] * (len(y) + 1)
+    for a in x:
+        new = [0]
+        for j, b in enumerate(y):
+            new.append(row[j] + 1 if a == b else max(new[-1], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def same_across_splits(records: list[tuple[int, str | None, str | None]], people: list[tuple[str, str, str, str]]) -> set[tuple[int, int]]:
+    """records: (record_id, split, transcript)."""
+    own = [(i, (s or "").strip().lower(), words_in_order(t, people)) for i, s, t in records]
+    out = set()
+    for i, s, x in own:
+        for j, t, y in own:
+            if s == "train" and t in ("val", "validation", "test") and x and y:
+                n = max(len(x), len(y))
+                if 5 * min(len(x), len(y)) >= 4 * n and 5 * longest_common(x, y) >= 4 * n:
+                    out.add((min(i, j), max(i, j)))
+    return out

@@ -102,6 +102,13 @@ def _talk(rng, n):
     return [" ".join(rng.choice(["Zorvak", "Plimdor", "Quessar", "Trellin", "Maskobar", "we", "the", "plan", "agreed", *[f"Nem{rng.randrange(900)}" for _ in range(4)]]) for _ in range(9)) for _ in range(n)]
 
 
+TALKERS = [(f"SPEAKER_0{i}", "ABC"[i], f, r) for i, (f, r) in enumerate([("Momb Samand", "Project Manager"), ("Karl Kalelt", "Designer"), ("Nest Lelasan", "Marketing Expert")])]
+
+
+def talkers(spark, meeting_ids):
+    return spark.createDataFrame([(m, *p) for m in sorted(set(meeting_ids)) for p in TALKERS], "meeting_id string, speaker_label string, agent string, full_name string, role string")
+
+
 def _layouts(lines):
     a = "\n".join(f"SPEAKER_0{i % 3}: {x}." for i, x in enumerate(lines))
     b = "\n".join(f"[0:0{i % 6}:{i % 60:02d}] Project Manager: {x.upper()} um, [laughter]" for i, x in enumerate(lines))
@@ -121,22 +128,23 @@ def test_p3_against_brute_force(spark):
         given.append((f"o{k}", "validation", _layouts(t[:-1])[1]))
     given += [("x", "train", ""), ("x", "test", None), ("y", "train", "SPEAKER_00: um"), ("y", "test", "SPEAKER_00: um"), given[0]]
     table = [meeting(i, t, s, meeting_id=m) for i, (m, s, t) in enumerate(given)]
-    ids = crosssplit._Ids()
-    seqs = {r[0]: crosssplit.spoken_words(r[4] or "", ids) for r in table}
-    side = {r[0]: (r[2] or "").strip().lower() for r in table}
-    want = set()
-    for i in seqs:
-        for j in seqs:
-            if side[i] == "train" and side[j] in ("test", "val", "validation") and len(seqs[i]) and len(seqs[j]):
-                least = -(-4 * max(len(seqs[i]), len(seqs[j])) // 5)
-                if crosssplit.common_in_order(seqs[i], seqs[j], least):
-                    want.add((min(i, j), max(i, j)))
+    want = brute.same_across_splits([(r[0], r[2], r[4]) for r in table], TALKERS)
     assert len(want) > 15
-    df = spark.createDataFrame(table, MEETINGS)
-    assert set(rows(crosssplit.p3_found(df))) == want
-    counted = crosssplit.p3_counts(df).collect()
+    df, people = spark.createDataFrame(table, MEETINGS), talkers(spark, [r[1] for r in table])
+    assert set(rows(crosssplit.p3_found(df, people))) == want
+    counted = crosssplit.p3_counts(df, people).collect()
     assert sum(r.n_pairs for r in counted) == len(want)
-    assert crosssplit.p3_found(df.limit(0)).count() == 0
+    assert crosssplit.p3_found(df.limit(0), people).count() == 0
+    assert crosssplit.p3_found(df, people.limit(0)).count() > 0
+
+
+def test_p3_words_before_a_colon(spark):
+    """Only names of the roster are labels, whatever their length; long notes are no words."""
+    names = frozenset(["speaker_00", "project manager", "k. kalelt"])
+    shown = lambda t: len(crosssplit.spoken_words(t, crosssplit._Ids(), names))
+    assert shown("SPEAKER_00: one two") == 2 and shown("Remember this: one two") == 4 and shown("K. Kalelt: one") == 1
+    assert shown("Project Manager (A): one") == 1 and shown("Unknown speaker: one") == 1 and shown(f"SPEAKER_00: {{{'x ' * 90}}} one") == 1
+    assert shown(f"{'long ' * 30}: one") == 31
 
 
 def test_p3_finds_misspelt_words(spark):
@@ -149,16 +157,11 @@ def test_p3_finds_misspelt_words(spark):
             odd = set(rng.sample(range(len(said)), len(said) * share // 100))
             given.append(("test", " ".join(f"{w}q{k}x{share}y{i}" if i in odd else w for i, w in enumerate(said))))
     table = [meeting(i, t, s, meeting_id=f"m{i}") for i, (s, t) in enumerate(given)]
-    ids = crosssplit._Ids()
-    seqs = [crosssplit.spoken_words(t, ids) for _, t in given]
-    want = {
-        (min(i, j), max(i, j)) for i, (s, _) in enumerate(given) for j, (t, _) in enumerate(given)
-        if s == "train" and t == "test" and crosssplit.common_in_order(seqs[i], seqs[j], -(-4 * max(len(seqs[i]), len(seqs[j])) // 5))
-    }
+    want = brute.same_across_splits([(r[0], r[2], r[4]) for r in table], TALKERS)
     assert len(want) == 48
-    df = spark.createDataFrame(table, MEETINGS)
-    assert set(rows(crosssplit.p3_found(df))) == want
-    assert sum(r.n_pairs for r in crosssplit.p3_counts(df).collect()) == 48
+    df, people = spark.createDataFrame(table, MEETINGS), talkers(spark, ["m0"])
+    assert set(rows(crosssplit.p3_found(df, people))) == want
+    assert sum(r.n_pairs for r in crosssplit.p3_counts(df, people).collect()) == 48
 
 
 def test_common_in_order():
