@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meetspark.llm.turns import BEHIND, HESITATIONS, NUMBER, PLAIN_ROLE, ROLE, SOUNDS, SWAPPED, TIME, UNKNOWN, roster_keys
+from meetspark.llm.turns import BEHIND, CAPTION, HESITATIONS, MARK, NUMBER, PLAIN_ROLE, ROLE, SOUNDS, SWAPPED, TIME, UNKNOWN, roster_keys
 from meetspark.runtime import written
 
 #: Least share of the longer transcript's words that stand in the same order in the other.
@@ -35,6 +35,9 @@ _NOISE = re.compile(
 _LINE = re.compile(
     r"\n(?:\d+[ \t]*\r?\n[^\n]*-->[^\n]*|[ \t]*(?:\d{1,3}:\d\d:\d\d(?:[.,]\d{1,3})?\s(?:\s*-\s)?)?[ \t]*(?:((?:[^:\n<\[({]++|\[[^\]:\n]*+\]|\([^):\n]*+\))++):)?)"
 )
+_STAMP = re.compile(r"\n[ \t]*(?:\d+[ \t]*\r?\n[ \t]*)?[\[(<]?[ \t]*(%s)" % TIME)
+_HEAD = re.compile(r"\s*(%s)?\s*(?:-\s+)?((?:[^:\n<\[({]++|\[[^\]:\n]*+\]|\([^):\n]*+\))++):" % MARK)
+_RANGE = re.compile(CAPTION)
 _INLINE = re.compile(r"speaker_\d+ *:")
 _PLAIN = re.compile(r"[a-z0-9]+(?:'[a-z0-9]+)*")
 _WORD = re.compile(r"[^\W_]+(?:['\u2019][^\W_]+)*")
@@ -64,6 +67,34 @@ def _label_key(label: str) -> str:
     return re.sub(SWAPPED, r"\2 \1", name)
 
 
+def _seconds(mark: str) -> float:
+    total = 0.0
+    for part in mark.strip("[](<>) \t\n").replace(",", ".").split(":"):
+        total = total * 60 + float(part)
+    return total
+
+
+def in_order_of_time(text: str, names: frozenset[str]) -> str:
+    """A text with its turns in order of time, if every labelled line has one; else as it is, as in problem 6."""
+    times = [_seconds(x) for x in _STAMP.findall("\n" + text)]
+    if all(a <= b for a, b in zip(times, times[1:])):
+        return text
+    turns: list[tuple[float, list[str]]] = [(-1.0, [])]
+    for line in _RANGE.sub(r"[\1.\2] ", text).replace(".] ", "] ").split("\n"):
+        head = _HEAD.match(line)
+        if head and _names_somebody(head[2], names):
+            if not head[1]:
+                return text
+            turns.append((_seconds(head[1]), [line]))
+        else:
+            turns[-1][1].append(line)
+    return "\n".join(line for _, lines in sorted(turns, key=lambda x: x[0]) for line in lines)
+
+
+def _names_somebody(label: str, names: frozenset[str]) -> bool:
+    return " ".join(label.split()) in UNKNOWN or _label_key(label) in names
+
+
 def spoken_words(text: str, ids: dict[str, int], names: frozenset[str] = frozenset()) -> np.ndarray:
     """Ids of the spoken words in order, without layout, labels, times, hesitations, sounds, case and punctuation.
 
@@ -73,11 +104,12 @@ def spoken_words(text: str, ids: dict[str, int], names: frozenset[str] = frozens
 
     def begun(line: re.Match) -> str:
         label = line[1]
-        if label is None or " ".join(label.split()) in UNKNOWN or _label_key(label) in names:
+        if label is None or _names_somebody(label, names):
             return "\n"
         return f"\n{label} "
 
-    bare = _INLINE.sub(" ", _LINE.sub(begun, _NOISE.sub(" ", "\n" + text.lower())))
+    ordered = in_order_of_time(text.lower(), names)
+    bare = _INLINE.sub(" ", _LINE.sub(begun, _NOISE.sub(" ", "\n" + ordered)))
     words = (_PLAIN if bare.isascii() else _WORD).findall(bare)
     found = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
     return found[found != 0]

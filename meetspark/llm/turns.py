@@ -24,7 +24,7 @@ NOISE = (
 )
 WORD = r"[A-Za-z0-9\p{L}\p{N}]\S*"
 UNKNOWN = ["unknown", "unknown speaker", "unidentified", "unidentified speaker", "speaker_unknown", "???", "??", "?"]
-_CAPTION = (
+CAPTION = (
     r"(?m)^[ \t]*\d+[ \t]*\r?\n[ \t]*(\d{1,3}:\d{2}:\d{2})(?:[.,](\d{1,3}))?[ \t]*-->[^\n]*\r?\n"
 )
 #: A possible label has no bracket left open before its colon, as times and sounds inside speech have.
@@ -54,7 +54,7 @@ def lines(records: DataFrame) -> DataFrame:
     line is cut before each ``SPEAKER_n:``. Null and empty texts have no lines.
     """
     text = F.col("text")
-    text = F.when(text.contains("-->"), F.regexp_replace(text, _CAPTION, "[$1.$2] ")).otherwise(text)
+    text = F.when(text.contains("-->"), F.regexp_replace(text, CAPTION, "[$1.$2] ")).otherwise(text)
     text = F.when(
         ~F.rtrim(text).contains("\n"),
         F.regexp_replace(F.regexp_replace(text, r"(?i)\s+(?=(?:" + MARK + r"\s*)?SPEAKER_\d+\s*:)", "\n"), r"^(\s*" + MARK + r"\s*(?:-\s*)?)\n", "$1 "),

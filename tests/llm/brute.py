@@ -27,8 +27,8 @@ def spoken(text: str) -> list[str]:
     return out
 
 
-def said(text: str | None, people: list[tuple[str, str, str, str]], timed: bool = True) -> list[tuple[str, str]]:
-    """(speaker, what is said) in order; people: (speaker_label, agent, full_name, role); timed: in order of time where all lines have one."""
+def said(text: str | None, people: list[tuple[str, str, str, str]]) -> list[tuple[str, str]]:
+    """(speaker, what is said) in order; people: (speaker_label, agent, full_name, role)."""
     if not text:
         return []
     names: dict[str, str] = {x: "UNKNOWN" for x in ("unknown", "unknown speaker", "unidentified", "???")}
@@ -70,7 +70,7 @@ def said(text: str | None, people: list[tuple[str, str, str, str]], timed: bool
             found[-1][2] += "\n" + line
         else:
             found.append(["UNKNOWN", at, line])
-    if timed and found and all(at for _, at, _ in found):
+    if found and all(at for _, at, _ in found):
         def seconds(at: str) -> float:
             total = 0.0
             for part in at.replace(",", ".").split(":"):
@@ -112,8 +112,8 @@ def leaks(documents: list[tuple[int, str | None]], items: list[tuple[int, str |
 
 
 def words_in_order(text: str | None, people: list[tuple[str, str, str, str]]) -> list[str]:
-    """The spoken words as stored, in lower case, without punctuation."""
-    return [w for _, x in said(text, people, timed=False) for token in spoken(x) for w in re.findall(r"[^\W_]+(?:'[^\W_]+)*", token.lower())]
+    """The spoken words in order, in lower case, without punctuation."""
+    return [w for _, x in said(text, people) for token in spoken(x) for w in re.findall(r"[^\W_]+(?:'[^\W_]+)*", token.lower())]
 
 
 def longest_common(x: list[str], y: list[str]) -> int:

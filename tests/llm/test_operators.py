@@ -111,8 +111,8 @@ def talkers(spark, meeting_ids):
 
 def _layouts(lines):
     a = "\n".join(f"SPEAKER_0{i % 3}: {x}." for i, x in enumerate(lines))
-    b = "\n".join(f"[0:0{i % 6}:{i % 60:02d}] Project Manager: {x.upper()} um, [laughter]" for i, x in enumerate(lines))
-    c = "\n\n".join(f"{i + 1}\n00:0{i % 6}:11,871 --> 00:0{i % 6}:12,999\nK. Kalelt: {x}" for i, x in enumerate(lines))
+    b = "\n".join(f"[0:00:{i:02d}] Project Manager: {x.upper()} um, [laughter]" for i, x in enumerate(lines))
+    c = "\n\n".join(f"{i + 1}\n00:00:{i:02d},871 --> 00:00:{i:02d},999\nK. Kalelt: {x}" for i, x in enumerate(lines))
     return a, b, c
 
 
@@ -138,6 +138,17 @@ def test_p3_against_brute_force(spark):
     assert crosssplit.p3_found(df, people.limit(0)).count() > 0
 
 
+def test_p3_order_of_time():
+    names = frozenset(["speaker_00", "speaker_01"])
+    a = "[0:00:10] speaker_00: c d\nmore\n[0:00:05] speaker_01: a b"
+    assert crosssplit.in_order_of_time(a, names) == "[0:00:05] speaker_01: a b\n[0:00:10] speaker_00: c d\nmore"
+    for kept in ("[0:00:10] speaker_00: c d\nspeaker_01: a b\n[0:00:05] speaker_01: e", "one\ntwo", "", "[0:00:10] nobody: x\n[0:00:05] nobody: y"):
+        assert crosssplit.in_order_of_time(kept, names) == kept
+    c = "2\n00:00:10,500 --> 00:00:11,999\nspeaker_00: x\n\n1\n00:00:05,871 --> 00:00:06,999\nspeaker_01: y\n"
+    words = crosssplit.spoken_words(c, crosssplit._Ids(), names).tolist()
+    assert words == crosssplit.spoken_words("y x", crosssplit._Ids()).tolist()
+
+
 def test_p3_words_before_a_colon(spark):
     """Only names of the roster are labels, whatever their length; long notes are no words."""
     names = frozenset(["speaker_00", "project manager", "k. kalelt"])
