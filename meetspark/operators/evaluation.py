@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from meetspark.functions.sequences import common_subsequence, word_edits
+
 _TOKENS = r"([a-z0-9]+)"
 
 
@@ -25,44 +27,18 @@ def token_f1(pairs: DataFrame, key: str) -> DataFrame:
     return rows.select(key, score.alias("f1"))
 
 
-def _lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, row by row of the usual table."""
-    start = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
-
-    def row(above: Column, token: Column) -> Column:
-        def cell(state: Column, j: Column) -> Column:
-            best = F.when(F.get(b, j) == token, F.get(above, j) + 1).otherwise(F.greatest(F.element_at(state, -1), F.get(above, j + 1)))
-            return F.array_append(state, best)
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.array(F.lit(0)), cell)
-
-    return F.element_at(F.aggregate(a, start, row), -1)
-
-
 def rouge_l(pairs: DataFrame, key: str) -> DataFrame:
     """(key, rouge_l): F1 of the longest common subsequence of tokens."""
-    a, b = metric_tokens(F.col("reference")), metric_tokens(F.col("prediction"))
-    given = pairs.select(key, a.alias("a"), b.alias("b"))
+    given = pairs.select(key, metric_tokens(F.col("reference")).alias("a"), metric_tokens(F.col("prediction")).alias("b"))
     empty = (F.size("a") == 0) | (F.size("b") == 0)
-    common = F.when(~empty, _lcs(F.col("a"), F.col("b")))
+    common = common_subsequence(F.col("a"), F.col("b"))
     return given.select(key, F.when(empty, (F.size("a") == F.size("b")).cast("double")).otherwise(2.0 * common / (F.size("a") + F.size("b"))).alias("rouge_l"))
 
 
 def word_error_rate(pairs: DataFrame, key: str) -> DataFrame:
     """(key, errors, words): edit distance over words between reference and prediction."""
-    a, b = metric_tokens(F.col("reference")), metric_tokens(F.col("prediction"))
-    given = pairs.select(key, a.alias("a"), b.alias("b"))
-    start = F.sequence(F.lit(0), F.size("b"))
-
-    def row(above: Column, token: Column) -> Column:
-        def cell(state: Column, j: Column) -> Column:
-            swap = F.get(above, j) + F.when(F.get(F.col("b"), j) == token, 0).otherwise(1)
-            return F.array_append(state, F.least(swap, F.get(above, j + 1) + 1, F.element_at(state, -1) + 1))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size("b") - 1), F.array(F.get(above, F.lit(0)) + 1), cell)
-
-    errors = F.when(F.size("b") == 0, F.size("a")).otherwise(F.element_at(F.aggregate("a", start, row), -1))
-    return given.select(key, errors.alias("errors"), F.size("a").alias("words"))
+    given = pairs.select(key, metric_tokens(F.col("reference")).alias("a"), metric_tokens(F.col("prediction")).alias("b"))
+    return given.select(key, word_edits(F.col("a"), F.col("b")).alias("errors"), F.size("a").alias("words"))
 
 
 def macro_average(scores: DataFrame, category: str, columns: list[str]) -> DataFrame:

@@ -89,6 +89,27 @@ def test_reliability_and_passes(spark):
     assert ("entirely new remark", 6.0, "recovery") in merged and len(merged) == 2  # the two base lines are near copies
 
 
+def test_sequences():
+    import random
+
+    from meetspark.functions.sequences import common_length, edit_distance
+
+    def plain(x, y):
+        common, edits = [0] * (len(y) + 1), list(range(len(y) + 1))
+        for i, a in enumerate(x):
+            c, e = [0], [i + 1]
+            for j, b in enumerate(y):
+                c.append(common[j] + 1 if a == b else max(c[-1], common[j + 1]))
+                e.append(min(edits[j] + (a != b), e[-1] + 1, edits[j + 1] + 1))
+            common, edits = c, e
+        return common[-1], edits[-1]
+
+    rng = random.Random(4)
+    for _ in range(300):
+        x, y = ([rng.choice("abcde") for _ in range(rng.randrange(0, 90))] for _ in range(2))
+        assert (common_length(x, y), edit_distance(x, y)) == plain(x, y)
+
+
 def test_packing(spark):
     df = spark.createDataFrame([("m", i, t) for i, t in enumerate(["aaaa", "bbbb", "c" * 25, "", "dd"])] + [("n", 0, None)], "meeting_id string, idx int, rendered string")
     got = packing.chunks(df, 10).orderBy("chunk").collect()
@@ -125,8 +146,10 @@ def test_digest(spark):
     assert "seg-0003" in got.ids and "seg-0012" in got.ids and "seg-0001" not in got.ids and "seg-0002" not in got.ids
     small = digest.digests(df, budget=1000, windows=3).collect()
     assert all(len(r.text) <= 1000 for r in small) and 1 <= len(small) <= 3
-    rows_ = [{"at": i, "bonus": 0.0, "n_words": 5, "content": [f"t{i}"], "words": [f"t{i}"], "length": 99} for i in range(10)]
-    assert len(digest.select_turns(rows_, 10, 300)) == 3 and digest.select_turns([], 5, 100) == []
+    alike = spark.createDataFrame([("m", i, f"seg-{i + 1:04d}", "A", f"Background discussion item about {w} layout", float(i), i + 1.0) for i, w in enumerate(["the new", "the new and shiny", "an old"])], df.schema)
+    kept = digest.digests(alike, windows=1).first()
+    assert "seg-0002" in kept.ids and "seg-0001" not in kept.ids  # of near copies the wordier stays
+    assert digest.digests(df.limit(0)).count() == 0
 
 
 def test_claims(spark):
@@ -233,15 +256,25 @@ def test_fuzzy_reconcile_whole_meetings(spark, data):
     import random
 
     import __spark_entry__
-    from meetspark.functions.similarity import evidence_bounds, evidence_ratio
+    from meetspark.functions.similarity import evidence_ratio
     from meetspark.plans.synth import segments
 
     rng = random.Random(2)
     words = ["we", "ship", "on", "Monday", "and", "Friday", "the", "plan", "it's", "done", ""]
-    for _ in range(150):
+    sides: tuple[list, list] = ([], [])
+    want = []
+    for m in range(60):
         left, right = ([" ".join(rng.choice(words) for _ in range(rng.randrange(0, 7))) for _ in range(rng.randrange(0, 9))] for _ in range(2))
         right += [None, *left[:2]]
-        want = greedy.one_to_one(left, right, evidence_ratio, 0.72)
-        assert greedy.one_to_one(left, right, evidence_ratio, 0.72, evidence_bounds(left, right)) == want
+        for side, texts in zip(sides, (left, right)):
+            side += [(m, i, t) for i, t in enumerate(texts)]
+        free = set(range(len(right)))
+        for i, t in enumerate(left):  # the best of all that are free, the later of equals
+            scored = [(evidence_ratio(t, right[k]), k) for k in free]
+            if scored and max(scored)[0] >= 0.72:
+                want.append((m, i, max(scored)[1]))
+                free.discard(max(scored)[1])
+    a, b = (spark.createDataFrame(side, "meeting_id int, idx int, text string") for side in sides)
+    assert rows(greedy.greedy_matches(greedy.similar_pairs(a, b, 0.72), ["meeting_id"])) == sorted(want, key=repr) and len(want) > 30
     found = __spark_entry__.queries()["join_fuzzy_reconcile"](spark, data)
     assert rows(found, "meeting_id", "idx") == rows(segments(spark, data), "meeting_id", "idx")
