@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
-def _places(words: list[str]) -> dict[str, int]:
+def _places(words: Sequence[str]) -> dict[str, int]:
     found: dict[str, int] = {}
     for i, w in enumerate(words):
         found[w] = found.get(w, 0) | 1 << i
     return found
 
 
-def common_length(a: list[str], b: list[str]) -> int:
+def common_length(a: Sequence[str], b: Sequence[str]) -> int:
     """Length of the longest common subsequence: a row of the usual table is one whole number."""
     places, full = _places(a), (1 << len(a)) - 1
     row = full

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from meetspark.functions.sequences import common_length
+
 _TOKEN = re.compile(r"[\w']+")
 _ODD = re.compile(r"[^\w\s]")
 
@@ -68,6 +70,15 @@ def evidence_bounds(left: list, right: list) -> Callable[[int], np.ndarray]:
     return bounds
 
 
+def within_reach(left: object, right: object, least: float) -> bool:
+    """Whether evidence_ratio may reach ``least``: a sequence ratio counts letters of a common subsequence, the longest of which is found much faster."""
+    a, b = _clean(left).casefold(), _clean(right).casefold()
+    if 2.0 * common_length(a, b) >= least * (len(a) + len(b)) - 1e-9:
+        return True
+    x, y = set(_TOKEN.findall(a)), set(_TOKEN.findall(b))
+    return _share(x, y, len(x | y)) >= least
+
+
 def metric_ratio(left: object, right: object) -> float:
     """1 for texts equal without case and punctuation, else the larger of token Jaccard and sequence ratio."""
     a, b = (" ".join(_ODD.sub(" ", str(t).lower()).split()) for t in (left, right))
