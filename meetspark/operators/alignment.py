@@ -95,3 +95,43 @@ def dense_ids(segments: DataFrame, order: list[Column]) -> DataFrame:
     """idx from 0 and seg_id ``seg-0001`` by ``order`` within the meeting, and the origin of each segment."""
     ranked = segments.withColumn("idx", F.row_number().over(Window.partitionBy("meeting_id").orderBy(*order)) - 1)
     return ranked.withColumn("seg_id", F.format_string("seg-%04d", F.col("idx") + 1)).withColumn("origin", F.when(F.col("start_s").isNotNull(), "audio").otherwise("transcript"))
+
+
+def combine(segments: DataFrame, turns: DataFrame, runs: DataFrame) -> DataFrame:
+    """Segments with the speakers of their meeting's turns, and a note where finding speakers failed.
+
+    ``runs``: meeting_id, error. Segments of a meeting whose run failed, or that
+    has none, stay with a null speaker, so no transcript is lost.
+    """
+    state = runs.groupBy("meeting_id").agg(F.max(F.col("error").isNull()).alias("ok"), F.max("error").alias("error"))
+    joined = segments.drop("speaker").join(state, "meeting_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    done = assign_speakers(joined.where("ok").drop("ok", "error"), turns).withColumn("note", F.lit(None).cast("string"))
+    reason = F.coalesce("error", F.lit("no speaker turns"))
+    rest = joined.where("NOT ok").withColumns({"speaker": F.lit(None).cast("string"), "overlap_s": F.lit(0.0), "note": F.concat(F.lit("Speakers unavailable: "), reason)})
+    return done.unionByName(rest.select(*done.columns))
+
+
+def rename_speakers(turns: DataFrame, names: DataFrame) -> DataFrame:
+    """Turns under the names given for their speakers; ``names``: meeting_id, speaker, name. Blank names change nothing; of several the largest counts."""
+    given = names.withColumn("name", clean_text(F.col("name"))).where("name <> ''").groupBy("meeting_id", "speaker").agg(F.max("name").alias("__name"))
+    return turns.join(given, ["meeting_id", "speaker"], "left").withColumn("speaker", F.coalesce("__name", "speaker")).drop("__name")
+
+
+def rename_in_text(transcript: Column, names: Column) -> Column:
+    """A transcript with ``SPEAKER:`` labels renamed by an array of structs of speaker and name, in its order."""
+    quoted = lambda s: F.concat(F.lit(r"\b\Q"), s, F.lit(r"\E(?=:)"))
+    plain = lambda s: F.regexp_replace(s, r"([\\$])", r"\\$1")
+    used = F.filter(names, lambda n: clean_text(n["name"]) != "")
+    return F.aggregate(used, transcript, lambda text, n: F.regexp_replace(text, quoted(n["speaker"]), plain(clean_text(n["name"]))))
+
+
+def take_audio(parsed: DataFrame, audio: DataFrame, same: float = 0.95) -> DataFrame:
+    """(meeting_id): meetings whose transcript is one parsed line that says what several audio segments say together.
+
+    Their audio segments stand for the line. Both sides: meeting_id, idx, text.
+    """
+    from meetspark.functions.similarity import evidence_similarity
+
+    one = parsed.groupBy("meeting_id").agg(F.count("*").alias("n"), F.first("text").alias("line")).where("n = 1")
+    told = audio.groupBy("meeting_id").agg(F.count("*").alias("m"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("said")).where("m > 1")
+    return one.join(told, "meeting_id").where(evidence_similarity(F.col("line"), F.col("said")) >= same).select("meeting_id")

@@ -70,3 +70,41 @@ def recovery_candidates(base: DataFrame, recovery: DataFrame, cell: float = 60.0
     overlap = F.greatest(F.lit(0.0), F.least("end_s", "e") - F.greatest("start_s", "s")) / F.greatest(F.lit(0.001), F.col("end_s") - F.col("start_s"))
     covered = cells(inside.select("meeting_id", "idx", "start_s", "end_s")).join(spans, ["meeting_id", "cell"]).where(overlap >= 0.25).select("meeting_id", "idx").distinct()
     return inside.join(covered, ["meeting_id", "idx"], "left_anti")
+
+
+#: How many times the first pass's words a second pass must reach to be taken. Fixed value.
+IMPROVEMENT = 1.05
+
+
+def choose_pass(first: DataFrame, second: DataFrame, durations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(segments, attempts): of each meeting the first pass, or both passes merged where that is better.
+
+    Both sides: meeting_id, idx, text, start_s, end_s and the measures that
+    reliability reads; unreliable rows of either are left out. Only meetings
+    whose first pass covers too little are tried again. The merged pass is taken
+    if it has at least one word more, and 1.05 times as many. attempts has
+    meeting_id, strategy, word_count, selected and coverage_status.
+    """
+    from meetspark.operators.greedy import merge_passes
+
+    columns = ["meeting_id", "text", "start_s", "end_s"]
+    usable = lambda df: reliability(df).where(F.size("reasons") == 0)
+    base = usable(first)
+    own = coverage(base, durations)
+    low = own.where("low").select("meeting_id")
+    weak = base.join(low, "meeting_id", "left_semi")
+    merged = merge_passes(weak, recovery_candidates(weak, usable(second).join(low, "meeting_id", "left_semi")))
+    hybrid = coverage(merged, durations)
+    compared = own.select("meeting_id", F.col("word_count").alias("n")).join(hybrid.select("meeting_id", F.col("word_count").alias("m")), "meeting_id", "left")
+    better = F.coalesce(F.col("m") >= F.greatest(F.col("n") + 1, F.floor(F.col("n") * IMPROVEMENT)), F.lit(False))
+    chosen = compared.select("meeting_id", better.alias("better"))
+    kept = base.select(*columns, F.lit("vad").alias("origin")).join(chosen.where("NOT better"), "meeting_id", "left_semi").unionByName(merged.join(chosen.where("better"), "meeting_id", "left_semi").select(*columns, "origin"))
+    attempts = own.join(chosen, "meeting_id").select("meeting_id", F.lit("vad").alias("strategy"), "word_count", (~F.col("better")).alias("selected"), F.col("status").alias("coverage_status")).unionByName(
+        hybrid.join(chosen, "meeting_id").select("meeting_id", F.lit("hybrid").alias("strategy"), "word_count", F.col("better").alias("selected"), F.col("status").alias("coverage_status"))
+    )
+    return kept, attempts
+
+
+def review_needed(attempts: DataFrame) -> DataFrame:
+    """(meeting_id, needed): whether the chosen pass covers so little that somebody has to agree before it is used."""
+    return attempts.where("selected").select("meeting_id", (F.col("coverage_status") == "critical").alias("needed"))

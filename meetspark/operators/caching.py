@@ -32,3 +32,31 @@ def cache_stats(work: DataFrame, cache: DataFrame) -> DataFrame:
     """(chunks, hits, misses) over all of ``work``."""
     known = work.join(cache.select("cache_key", F.lit(1).alias("known")).dropDuplicates(["cache_key"]), "cache_key", "left")
     return known.agg(F.count("*").alias("chunks"), F.count("known").alias("hits"), (F.count("*") - F.count("known")).alias("misses"))
+
+
+def file_fingerprints(spark, path: str) -> DataFrame:
+    """(path, fingerprint): SHA-256 of the bytes of each file under ``path``."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("fingerprint"))
+
+
+def folder_fingerprint(spark, path: str) -> DataFrame:
+    """(fingerprint) of a folder: SHA-256 over path, length and time of change of its files, in order; their bytes aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.unix_micros("modificationTime").alias("at"))
+    rows = F.array_sort(F.collect_list(F.struct("path", "length", "at")))
+    return files.agg(F.sha2(F.to_json(rows), 256).alias("fingerprint"))
+
+
+def without(cache: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """A cache without the given cache_keys, or an empty one."""
+    return cache.limit(0) if keys is None else cache.join(keys.select("cache_key"), "cache_key", "left_anti")
+
+
+def latest_events(events: DataFrame, n: int = 50) -> DataFrame:
+    """The last ``n`` events (at, stage, hit, detail): what a cache's log shows."""
+    return events.orderBy(F.desc("at")).limit(n)
+
+
+def stage_times(events: DataFrame) -> DataFrame:
+    """(stage, n, seconds, hits) over the runs (stage, seconds, hit); a hit takes no time."""
+    took = F.when(F.col("hit"), 0.0).otherwise(F.coalesce("seconds", F.lit(0.0)))
+    return events.groupBy("stage").agg(F.count("*").alias("n"), F.sum(took).alias("seconds"), F.count_if("hit").alias("hits"))

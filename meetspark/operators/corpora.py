@@ -71,3 +71,26 @@ def apply_reviews(items: DataFrame, reviews: DataFrame) -> DataFrame:
     last = reviews.groupBy("item_id").agg(F.max(F.struct("at", "status", "text", "seconds")).alias("r"))
     joined = items.join(last, "item_id", "left")
     return joined.withColumn("review_status", F.coalesce("r.status", F.lit("draft"))).withColumn("shown_text", F.coalesce("r.text", F.col("text"))).withColumn("verification_seconds", F.when(F.col("r.status") == "confirmed", F.col("r.seconds"))).drop("r")
+
+
+def first_of_split(rows: DataFrame, n: int, order: str) -> DataFrame:
+    """The first ``n`` rows of each split by the position ``order``: a subset by definition, as trainers ask for."""
+    from pyspark.sql import Window
+
+    return rows.withColumn("__rank", F.row_number().over(Window.partitionBy("split").orderBy(order))).where(F.col("__rank") <= n).drop("__rank")
+
+
+def chat_records(queries: DataFrame, system: str) -> DataFrame:
+    """(example_id, split, messages): a question with its evidence as a conversation that ends with the answer."""
+    asked = F.concat(F.lit("Evidence:\n"), F.coalesce("relevant_transcript", F.lit("")), F.lit("\n\nQuestion: "), F.coalesce("query", F.lit("")))
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return queries.select("example_id", "split", F.array(message("system", F.lit(system)), message("user", asked), message("assistant", F.coalesce("answer", F.lit("")))).alias("messages"))
+
+
+def audit_audio(segments: DataFrame) -> DataFrame:
+    """(split, n_meetings, n_groups, n_segments, hours, n_unknown) of a speech corpus; hours count usable durations."""
+    usable = F.when((F.col("duration") > 0) & ~F.isnan("duration"), F.col("duration")).otherwise(0.0)
+    return segments.groupBy("split").agg(
+        F.countDistinct("meeting_id").alias("n_meetings"), F.countDistinct("project_group").alias("n_groups"), F.count("*").alias("n_segments"),
+        F.round(F.sum(usable) / 3600, 6).alias("hours"), F.count_if(clean_text(F.col("speaker_id")) == "").alias("n_unknown"),
+    )

@@ -770,3 +770,44 @@ def continuations(spark, d):
     from meetspark.operators.recover import same_speaker_continuations
 
     return same_speaker_continuations(segments(spark, d))
+
+
+# actions, assignments, pipeline -----------------------------------------------
+@_query("claims_explicit_actions")
+def explicit_actions(spark, d):
+    from meetspark.operators.actions import ACTION, explicit_actions as found
+
+    none = spark.createDataFrame([], "meeting_id long, idx int, task string, owner string, deadline string, commitment_status string, ids array<string>").select(*ACTION)
+    return found(segments(spark, d), none).select("meeting_id", "idx", "task", "commitment_status", F.array_join("ids", ",").alias("ids"))
+
+
+@_query("claims_role_assignments")
+def role_assignments(spark, d):
+    from meetspark.operators.actions import role_assignments as found
+
+    return found(segments(spark, d)).select("meeting_id", "idx", "place", "role", "task", F.array_join("ids", ",").alias("ids"))
+
+
+@_query("claims_pipeline")
+def pipeline_run(spark, d):
+    from meetspark.operators.pipeline import run
+
+    return run(_outputs(spark, d), segments(spark, d)).select("meeting_id", "n_linked", "n_rejected", F.md5("summary").alias("summary"), F.md5("report").alias("report"))
+
+
+@_query("agg_audio_audit", "SELECT split, count(DISTINCT meeting_id) AS n_meetings, count(DISTINCT project_group) AS n_groups, count(*) AS n_segments, round(sum(CASE WHEN duration > 0 AND NOT isnan(duration) THEN duration ELSE 0 END) / 3600, 6) AS hours, "
+        "CAST(count_if(trim(coalesce(speaker_id, '')) = '') AS BIGINT) AS n_unknown FROM asr_segments GROUP BY split")
+def audio_audit(spark, d):
+    return corpora.audit_audio(table(spark, d, "asr_segments"))
+
+
+@_query("set_chat_records", "SELECT example_id, md5(concat('Evidence:', chr(10), coalesce(relevant_transcript, ''), chr(10), chr(10), 'Question: ', coalesce(query, ''))) AS asked, md5(coalesce(answer, '')) AS answer FROM specific_queries")
+def chat_records(spark, d):
+    m = F.col("messages")
+    return corpora.chat_records(table(spark, d, "specific_queries"), "Answer from the evidence.").select("example_id", F.md5(m[1]["content"]).alias("asked"), F.md5(m[2]["content"]).alias("answer"))
+
+
+@_query("join_rename_speakers", "SELECT s.segment_id, s.idx, coalesce(r.full_name, s.speaker) AS speaker FROM speaker_segments s LEFT JOIN speaker_roster r ON r.meeting_id = s.meeting_id AND r.speaker_label = s.speaker")
+def renamed_speakers(spark, d):
+    names = table(spark, d, "speaker_roster").select("meeting_id", F.col("speaker_label").alias("speaker"), F.col("full_name").alias("name"))
+    return alignment.rename_speakers(table(spark, d, "speaker_segments"), names).select("segment_id", "idx", "speaker")
