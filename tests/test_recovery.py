@@ -58,8 +58,7 @@ def test_roll_call(spark):
 def test_pipeline(spark):
     s = meeting(spark, [
         ("A", "Today we are talking about the delivery plan for zone nine."), ("A", "I am Nadia, and I am the industrial designer."), ("B", "We agreed to go with supplier nine for the launch."),
-        ("B", "The customs delay is a risk for the launch."), ("A", "Just to wrap up, one thing."), ("A", "As the industrial designer, you are going to be working on the physical design."),
-        ("B", "Priya will review the budget report by Monday."),
+        ("B", "The customs delay is a risk for the launch."), ("B", "Priya will review the budget report by Monday."), ("A", "Just to wrap up, one thing."), ("A", "As the industrial designer, you are going to be working on the physical design."),
     ])
     told = json.dumps({"decisions": [{"text": "We agreed to go with supplier nine for the launch.", "evidence_segment_ids": ["seg-0003"]}, {"text": "They chose blue paint.", "evidence_segment_ids": ["seg-0003"]}], "risks": ["no source"]})
     outputs = spark.createDataFrame([("m", 0, told), ("m", 1, "{broken")], "meeting_id string, window int, output string")
