@@ -324,6 +324,17 @@ def test_p5_against_brute_force(spark):
     assert nearest.p5_found(left.limit(0), right).count() == 0 and nearest.p5_found(left, right.limit(0)).count() == 0
 
 
+def test_p5_no_table_on_the_driver(spark):
+    """The expanded turns aren't broadcast where the planner takes them for small, nor written to many ticks; any tick gives the same."""
+    left = spark.createDataFrame([(1, "m", 5_000), (2, "m", 5_999), (3, "m", 9_600)], "segment_id int, entity string, l long")
+    right = spark.createDataFrame([("m", 4_200), ("m", 6_100), ("m", 6_100), ("m", 11_000)], "entity string, r long")
+    joined = nearest.nearest_by_ticks(left, right)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert nearest.TICK_MS >= 2 * nearest.TOLERANCE_MS
+    for tick in (1, 250, 1_500, 3_000, nearest.TICK_MS, 1_000_000):
+        assert rows(nearest.nearest_by_ticks(left, right, tick=tick), "segment_id", "r") == [(1, 4_200), (2, 6_100), (3, 11_000)]
+
+
 # 6 --------------------------------------------------------------------------
 PEOPLE = [("SPEAKER_00", "A", "Momb Samand", "Project Manager"), ("SPEAKER_01", "B", "Nest Lelasan", "User Interface Designer")]
 TALKS = [
