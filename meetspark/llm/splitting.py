@@ -136,30 +136,35 @@ def with_limits(records: DataFrame, limits: DataFrame) -> DataFrame:
     )
 
 
-def _levels(texts: pd.Series, limits: pd.Series) -> pd.Series:
-    return pd.Series([Boundaries(t).level(max(1, int(m))) for t, m in zip(texts, limits)])
-
-
 def oversized(records: DataFrame, limits: DataFrame, text: str, key: str) -> DataFrame:
     """(key, text, max_chars, overlap_chars) of each record whose text exceeds its limit; lengths are compared in the JVM."""
     return with_limits(records.select(key, "domain", text), limits).where(F.length(text) > F.col("max_chars"))
 
 
+def cut(sized: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, text, max_chars, boundary, pieces) of oversized texts: bisected, overlaps attached afterwards."""
+    parts = F.pandas_udf(_split, f"struct<boundary:string,pieces:{PIECES}>")(F.col(text), F.col("max_chars"), F.col("overlap_chars"))
+    return sized.withColumn("__parts", parts).select(key, text, "max_chars", F.col("__parts.boundary").alias("boundary"), F.col("__parts.pieces").alias("pieces"))
+
+
 def split_oversized(records: DataFrame, limits: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, text, boundary, pieces) of each record whose text exceeds its limit.
+    """(key, text, max_chars, boundary, pieces) of each record whose text exceeds its limit.
 
     Lengths are compared in the JVM, so only oversized texts reach Python. Null
     and empty texts are never oversized.
     """
-    sized = oversized(records, limits, text, key)
-    parts = F.pandas_udf(_split, f"struct<boundary:string,pieces:{PIECES}>")(F.col(text), F.col("max_chars"), F.col("overlap_chars"))
-    return sized.withColumn("__parts", parts).select(key, text, "max_chars", F.col("__parts.boundary").alias("boundary"), F.col("__parts.pieces").alias("pieces"))
+    return cut(oversized(records, limits, text, key), text, key)
 
 
 def p1_found(meetings: DataFrame, limits: DataFrame) -> DataFrame:
-    """(record_id, boundary) of each oversized transcript."""
-    found = oversized(meetings, limits, "transcript", "record_id")
-    return found.select("record_id", F.pandas_udf(_levels, "string")("transcript", "max_chars").alias("boundary")).distinct()
+    """(record_id, boundary) of each oversized transcript, cut as for p1_pieces.
+
+    An overlap that isn't below the limit has no bearing on the boundary and is
+    taken as none here.
+    """
+    fits = F.when(F.col("overlap_chars") < F.col("max_chars"), F.col("overlap_chars")).otherwise(0)
+    sized = oversized(meetings, limits, "transcript", "record_id").withColumn("overlap_chars", fits)
+    return cut(sized, "transcript", "record_id").select("record_id", "boundary").distinct()
 
 
 def p1_pieces(meetings: DataFrame, limits: DataFrame) -> DataFrame:

@@ -64,6 +64,15 @@ def test_p1_levels(spark, limits):
     assert splitting.p1_found(given.limit(0), limits).count() == 0
 
 
+def test_p1_found_cuts(spark):
+    """p1_found bisects the texts as p1_pieces does, also where no overlap fits."""
+    given = spark.createDataFrame([(1, "product", "ab cd. ef gh\nij kl\n" * 3)], "record_id long, domain string, transcript string")
+    for overlap in (2, 8, 20):
+        found = splitting.p1_found(given, spark.createDataFrame([("default", 8, overlap)], "domain string, max_chars int, overlap_chars int"))
+        assert "_split(transcript" in found._jdf.queryExecution().executedPlan().toString()
+        assert rows(found) == [(1, "sentence")]
+
+
 def test_p1_random_texts():
     rng = random.Random(2)
     for _ in range(60):
