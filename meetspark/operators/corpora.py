@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from meetspark.functions.text import clean_text, meeting_domain
 
+#: Neighbouring turns that span_turns keeps in one row. Any number gives the same result.
+BLOCK = 1_024
+
 
 def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
     """One row per key: the one with the latest ``at``; of equals the one with the larger digest of its content."""
@@ -29,8 +32,18 @@ def span_turns(queries: DataFrame, turns: DataFrame) -> DataFrame:
     low = F.greatest(F.lit(0), F.get("pair", F.lit(0)).cast("int"))
     high = F.least(F.col("last"), F.get("pair", F.lit(1)).cast("int"))
     listed = ranges.withColumn("low", low).withColumn("high", high).where("low <= high")
-    each = listed.select("example_id", "meeting_id", "range_no", F.explode(F.sequence("low", "high")).alias("idx"))
-    return each.groupBy("example_id", "meeting_id", "idx").agg(F.min("range_no").alias("range_no")).join(turns.select("meeting_id", "idx"), ["meeting_id", "idx"]).select("example_id", "range_no", "idx")
+    # ranges meet whole blocks of turns, so what they select is neither sent around nor sorted
+    block = lambda c: F.floor(c / BLOCK).cast("int")
+    whole = listed.groupBy("example_id", "meeting_id").agg(F.collect_list(F.struct("range_no", "low", "high")).alias("ranges"))
+    blocks = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(block(r["low"]), block(r["high"])))))
+    own = lambda r: (block(r["low"]) <= F.col("block")) & (block(r["high"]) >= F.col("block"))
+    each = whole.select("example_id", "meeting_id", "ranges", F.explode(blocks).alias("block")).withColumn("ranges", F.filter("ranges", own))
+    held = turns.where("idx >= 0").groupBy("meeting_id", block(F.col("idx")).alias("block")).agg(F.collect_set("idx").alias("held"))
+    # merged whatever size the planner expects, as it doesn't see how many blocks a range has
+    met = each.join(held.hint("merge"), ["meeting_id", "block"]).select("example_id", "ranges", F.explode("held").alias("idx"))
+    within = F.filter("ranges", lambda r: (r["low"] <= F.col("idx")) & (r["high"] >= F.col("idx")))
+    first = met.select("example_id", F.array_min(F.transform(within, lambda r: r["range_no"])).alias("range_no"), "idx")
+    return first.where("range_no IS NOT NULL")
 
 
 def split_overlaps(rows: DataFrame, key: str = "meeting_id", split: str = "split") -> DataFrame:

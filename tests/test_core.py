@@ -197,6 +197,26 @@ def test_corpora(spark):
     assert rows(dedup.keep_first(late, ["k"], F.lower("v"), "at"), "v") == [("x",), ("y",), ("z",)]
 
 
+def test_span_turns_in_blocks(spark):
+    """Selected turns aren't sent around one by one; ranges over several blocks, gaps and repeated rows against plain Python."""
+    n = 2 * corpora.BLOCK + 500
+    held = {"m": [i for i in range(n) if i % 3], "k": [5, corpora.BLOCK, corpora.BLOCK + 1]}
+    given = [("a", "m", [["1000", "1100"], ["0", "2100"], ["2000", "99999"]]), ("b", "m", None), ("c", "k", []), ("d", "k", [["6", "1023"], ["1024", "1024"]]), ("e", "m", [["9", "2"], ["-4", "7"]]), ("f", "none", None), ("c", "k", [["5", "5"]])]
+    q = spark.createDataFrame(given, "example_id string, meeting_id string, relevant_text_span array<array<string>>")
+    t = spark.createDataFrame([(m, i) for m, ids in held.items() for i in ids], "meeting_id string, idx int")
+    want = {}
+    for name, m, pairs in given:
+        for no, (low, high) in enumerate([(int(a), int(b)) for a, b in pairs or [("0", str(n))]]):
+            for i in held.get(m, []):
+                if low <= i <= high:
+                    want[name, i] = min(no, want.get((name, i), no))
+    got = corpora.span_turns(q, t)
+    assert sorted((r.example_id, r.range_no, r.idx) for r in got.collect()) == sorted((e, no, i) for (e, i), no in want.items())
+    import re
+
+    assert not re.search(r"hashpartitioning\([^)]*\bidx#", got._jdf.queryExecution().executedPlan().toString())
+
+
 def test_corpus_files(spark, tmp_path):
     ns = 'xmlns:nite="http://nite.sourceforge.net/"'
     (tmp_path / "w.xml").write_text(
