@@ -55,6 +55,15 @@ def test_roll_call(spark):
     assert actions.roll_call(s.limit(0), people).count() == 4
 
 
+def test_pipeline_reads_its_input_once(spark):
+    """The plan of the result holds tables between stages only, not the segments and outputs with all that they are made of."""
+    s = meeting(spark, [("A", "Today we are talking about the delivery plan for zone nine."), ("B", "The customs delay is a risk for the launch.")])
+    outputs = spark.createDataFrame([("m", 0, '{"risks": ["The customs delay is a risk for the launch."]}')], "meeting_id string, window int, output string")
+    told = pipeline.run(outputs, s)
+    leaves = told._jdf.queryExecution().optimizedPlan().collectLeaves().toString()
+    assert "LogicalRDD" not in leaves and "LocalRelation" not in leaves and told.count() == 1
+
+
 def test_pipeline(spark):
     s = meeting(spark, [
         ("A", "Today we are talking about the delivery plan for zone nine."), ("A", "I am Nadia, and I am the industrial designer."), ("B", "We agreed to go with supplier nine for the launch."),
