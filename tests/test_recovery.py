@@ -9,7 +9,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from meetspark.operators import actions, alignment, asr, caching, claims, corpora, evaluation, pipeline
+from meetspark import runtime
+from meetspark.operators import actions, alignment, asr, caching, claims, corpora, evaluation, pipeline, recover
 from meetspark.sinks import files
 from meetspark.sources import query_corpus
 
@@ -64,6 +65,23 @@ def test_pipeline_reads_its_input_once(spark):
     assert "LogicalRDD" not in leaves and "LocalRelation" not in leaves and told.count() == 1
 
 
+def test_expressions_stand_once_in_the_plan(spark):
+    """Tasks and items are made from texts used many times over; the driver has to hold each copy in the plan and its code."""
+    text = spark.range(3).select(F.lit(1).alias("meeting_id"), F.lit(0).alias("window"), F.col("id").cast("string").alias("output"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(text.select(recover.clean_action_task(F.col("output")).alias("task"))).count("you to (?=") == 1
+    items = plan(claims.ingest(text))
+    assert items.count("$.task") == 1 and items.count("$.owner") == 1
+
+
+def test_only_and_settled(spark):
+    df = spark.createDataFrame([(1, "a"), (2, ""), (3, None), (4, "b")], "k int, t string")
+    assert rows(runtime.only(df, "t <> ''")) == [(1, "a"), (4, "b")] and runtime.only(df, "t <> ''").columns == ["k", "t"]
+    whole = lambda: [b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if b.getName() == "G1 Old Generation"]
+    before = whole()
+    assert rows(runtime.settled(df, "settled")) == rows(df) and [x - y > 0 for x, y in zip(whole(), before)] == [True]
+
+
 def test_pipeline(spark):
     s = meeting(spark, [
         ("A", "Today we are talking about the delivery plan for zone nine."), ("A", "I am Nadia, and I am the industrial designer."), ("B", "We agreed to go with supplier nine for the launch."),
